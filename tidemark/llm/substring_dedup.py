@@ -4,8 +4,9 @@
    ``window`` words. A chunk of documents keeps one entry per hash (the smallest doc_id in the chunk), so
    a passage held by a third of all rows is sent once per chunk. Entries travel as packed blobs, one per
    hash range.
-2. Reduce: each hash range finds the smallest doc_id of every hash; other holders are sent their hashes.
-3. Documents meet their hashes and repeated windows are merged into maximal spans.
+2. Reduce: each hash range finds the smallest doc_id of every hash; the other holders' hashes go out in packs,
+   one for each group of documents.
+3. Each group of documents meets its packs, and repeated windows are merged into maximal spans.
 
 The number of hash ranges follows the input's size, so a task's share stays the same at any scale. Hashes
 have 64 bits: two different windows among n collide with a chance of about n**2 / 2**65.
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import HashMemo, chunks, small_batches, total_bytes
 
 WINDOW = 13
-#: Bytes of text for each hash range, and words in a chunk of the map side.
+#: Bytes of text for each hash range, for each document group, and held at once by a worker.
 RANGE_BYTES = 16 << 20
-CHUNK_BYTES = 12 << 20
+PACK_BYTES = 3 << 20
+CHUNK_BYTES = 6 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOB = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("holders", pa.binary()), ("docs", pa.binary())])
 
@@ -106,51 +108,64 @@ def _mapper(window: int, buckets: int):
     return run
 
 
-def _reduce(table: pa.Table) -> pa.Table:
-    """One hash range: the hashes that each document must give up. Rows that carry a doc_id pass through."""
-    ids, blobs, hs, docs = [], [], [], []
-    for _, d, h, holders, of in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        if d is not None:
-            ids.append(d)
-            blobs.append(h)
-        else:
-            hs.append(unplanes(h, np.uint64))
-            docs.append(np.frombuffer(of, np.int64)[unplanes(holders, np.uint32)])
-    if hs:
-        h, doc = np.concatenate(hs), np.concatenate(docs)
-        order = np.argsort(h)
-        h, doc = h[order], doc[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        low = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.r_[start, len(h)]))
-        for d, blob in _by_doc(doc[doc > low], h[doc > low]):
-            ids.append(d)
-            blobs.append(blob)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(blobs, pa.binary())})
+def _reducer(packs: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One hash range: the hashes that documents must give up, packed by document group. Rows that carry a doc_id pass."""
+        doc, hs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        held, of = [], []
+        for _, d, h, holders, docs in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            if d is not None:
+                hs.append(np.frombuffer(h, np.uint64))
+                doc.append(np.full(len(hs[-1]), d))
+            else:
+                held.append(unplanes(h, np.uint64))
+                of.append(np.frombuffer(docs, np.int64)[unplanes(holders, np.uint32)])
+        if held:
+            h, d = np.concatenate(held), np.concatenate(of)
+            order = np.argsort(h)
+            h, d = h[order], d[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            low = np.repeat(np.minimum.reduceat(d, start), np.diff(np.r_[start, len(h)]))
+            doc.append(d[d > low])
+            hs.append(h[d > low])
+        d, h = np.concatenate(doc), np.concatenate(hs)
+        pack = (d % packs).astype(np.int32)
+        order = np.lexsort((d, pack))
+        pack, d, h = pack[order], d[order], h[order]
+        cut = np.flatnonzero(np.diff(pack)) + 1
+        out = {"pack": pack[np.r_[0, cut]] if len(pack) else [], "docs": [planes(x) for x in np.split(d, cut) if len(x)], "hashes": [x.tobytes() for x in np.split(h, cut) if len(x)]}
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+    return run
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
 
 
 def _finisher(window: int):
-    def run(batches):
-        memo = HashMemo()
-        for rows in chunks(batches, lambda r: len(r[1] or b""), CHUNK_BYTES // 4):
-            out = {k: [] for k in _OUT.names}
-            for doc_id, text, blobs in rows:
-                words = (text or b"").split()
-                spans, kept = [], words
-                if blobs:
-                    h, _ = window_hashes([words], window, memo)
-                    hit = np.flatnonzero(np.isin(h, np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])))
-                    if len(hit):
-                        cut = np.flatnonzero(np.diff(hit) > window) + 1
-                        lo, hi = hit[np.r_[0, cut]], hit[np.r_[cut - 1, len(hit) - 1]] + window
-                        spans = [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]
-                        edge = [0, *(x for s in spans for x in s.values()), len(words)]
-                        kept = [w for a, b in zip(edge[::2], edge[1::2], strict=True) for w in words[a:b]]
-                for k, v in zip(_OUT.names, (doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_OUT)
+    memo = HashMemo()
+
+    def run(docs: pa.Table, packs: pa.Table) -> pa.Table:
+        """A document group and the hashes that its documents must give up."""
+        d = np.concatenate([np.empty(0, np.int64), *(unplanes(x, np.int64) for x in packs.column("docs").to_pylist())])
+        h = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in packs.column("hashes").to_pylist())])
+        gone = dict(_by_doc(d, h))
+        out = {k: [] for k in _OUT.names}
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            words = (text or b"").split()
+            spans, kept = [], words
+            if doc_id in gone:
+                own, _ = window_hashes([words], window, memo)
+                hit = np.flatnonzero(np.isin(own, np.frombuffer(gone[doc_id], np.uint64)))
+                if len(hit):
+                    cut = np.flatnonzero(np.diff(hit) > window) + 1
+                    lo, hi = hit[np.r_[0, cut]], hit[np.r_[cut - 1, len(hit) - 1]] + window
+                    spans = [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]
+                    edge = [0, *(x for s in spans for x in s.values()), len(words)]
+                    kept = [w for a, b in zip(edge[::2], edge[1::2], strict=True) for w in words[a:b]]
+            for k, v in zip(_OUT.names, (doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode("utf-8", "replace")), strict=True):
+                out[k].append(v)
+        return pa.table(out, schema=_OUT)
 
     return run
 
@@ -165,11 +180,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     removes nor is removed from. An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(docs) // RANGE_BYTES))
+    size = total_bytes(docs)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    packs = max(buckets, -(-size // PACK_BYTES))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     blobs = rows.mapInArrow(_mapper(window, buckets), "bucket int, doc_id bigint, hashes binary, holders binary, docs binary")
-    found = blobs.groupBy("bucket").applyInArrow(_reduce, "doc_id bigint, hashes binary")
-    held = found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    return rows.join(held, "doc_id", "left").select("doc_id", "text", "hashes").mapInArrow(
+    found = blobs.groupBy("bucket").applyInArrow(_reducer(packs), "pack int, docs binary, hashes binary")
+    spread = F.coalesce(F.pmod("doc_id", F.lit(packs)), F.pmod(F.hash("text"), F.lit(packs))).cast("int")
+    return rows.withColumn("pack", spread).groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(
         _finisher(window), "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string"
     )
