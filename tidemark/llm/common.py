@@ -55,7 +55,7 @@ def ascii_lower(c: Column) -> Column:
 class HashMemo(dict):
     """bytes -> 64-bit XXH64, remembering up to ``limit`` words."""
 
-    def __init__(self, seed: int = 0, limit: int = 1_000_000):
+    def __init__(self, seed: int = 0, limit: int = 250_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

@@ -29,8 +29,9 @@ from .common import HashMemo, chunks, materialize, small_batches, total_bytes
 from .substring_dedup import planes, unplanes
 
 ORDER = 5
-MAX_NODES = 4_000_000
-CHUNK_BYTES = 6 << 20
+MAX_NODES = 1_000_000
+CHUNK_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
 RANGE_BYTES = 32 << 20
 START, END = 0xFE, 0xFF  # never in UTF-8
 END_WORD = b" "  # holds a space, so no word equals it
@@ -163,6 +164,12 @@ class Trie:
     def slot(key: np.ndarray, bits: int) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
+    def score_all(self, texts: list[bytes], table) -> np.ndarray:
+        """``score`` by pieces of about SCORE_BYTES, to bound memory."""
+        cut = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SCORE_BYTES, prepend=0))
+        edge = [0, *(c for c in cut.tolist() if c), len(texts)]
+        return np.concatenate([self.score(texts[a:b], table) for a, b in zip(edge, edge[1:], strict=False)])
+
     def score(self, texts: list[bytes], table) -> np.ndarray:
         """log10 probability of each canonical text."""
         key, size = grams(texts, self.order)
@@ -181,7 +188,7 @@ class Trie:
             got[off] = slots[at[off]]
             lp[off] = value[at[off]]
             off = off[got[off] != key[off]]
-        return np.add.reduceat(lp, np.cumsum(size) - size) if len(size) else lp
+        return np.add.reduceat(lp, np.cumsum(size) - size) if len(size) else np.empty(0)
 
 
 def fit(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
@@ -216,7 +223,7 @@ def _chunker(model, buckets: int):
             for i in range(0, len(rows), 60_000):
                 part = rows[i : i + 60_000]
                 texts = [canonical(r[1]) for r in part]
-                score = trie.score(texts, table)
+                score = trie.score_all(texts, table)
                 words = [[*t.split(), END_WORD] for t in texts]
                 n = np.fromiter(map(len, words), np.int64, len(words))
                 h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
