@@ -1,4 +1,6 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import codecs, store, upkeep
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "codecs", "store", "upkeep"]
