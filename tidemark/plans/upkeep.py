@@ -129,9 +129,9 @@ def metrics_rollup(spark, sf_dir):
     return r.select(F.coalesce("event_type", F.lit("all")).alias("op"), "ops", "errors", metrics.ratio(F.col("errors"), F.col("ops")).alias("error_rate"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS task_id, l_linestatus = 'F' AS ok, l_shipdate AS at, row_number() OVER (PARTITION BY l_orderkey, l_linestatus = 'F' ORDER BY l_shipdate) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+@query("""WITH r AS (SELECT l_orderkey AS task_id, l_linestatus = 'F' AS ok, l_shipdate AS t, row_number() OVER (PARTITION BY l_orderkey, l_linestatus = 'F' ORDER BY l_shipdate) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT task_id, count(*) AS total, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failed, CAST(count(*) FILTER (WHERE ok) AS DOUBLE) / count(*) AS success_rate, count(*) FILTER (WHERE ok) >= count(*) // 2 + 1 AS majority_ok,
-  count(*) FILTER (WHERE NOT ok) = 0 AS all_ok, min(at) AS first_at, max(CASE WHEN ok AND i = n // 2 + 1 THEN at END) AS majority_at FROM r GROUP BY task_id""")
+  count(*) FILTER (WHERE NOT ok) = 0 AS all_ok, min(t) AS first_at, max(CASE WHEN ok AND i = n // 2 + 1 THEN t END) AS majority_at FROM r GROUP BY task_id""")
 def quorum_stats(spark, sf_dir):
     """Scatter-gather outcomes of each order's peers."""
     peers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_linestatus") == "F").alias("ok"), F.col("l_shipdate").alias("at"))
