@@ -23,7 +23,7 @@ SIMILARITY = 0.8
 MIN_WORDS = 5
 STEPS = (32, 64)
 SAMPLES = (14, 26)
-RECALL = 0.95
+RECALL = 0.99
 #: Share of words edited and words of the shortest item for which RECALL is aimed at; words in a window.
 EDIT_RATE, ITEM_WORDS, WINDOW_WORDS = 0.2, 15, 5
 BITMAP_BITS = 22

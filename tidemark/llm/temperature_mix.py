@@ -11,6 +11,8 @@ one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,9 @@ def _hash(*parts: Column) -> Column:
 def source_shares(rows: DataFrame) -> DataFrame:
     """``source, tokens, docs, ln_p`` of every source with tokens; a null source is a source named ''."""
     per = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0")
-    total = per.agg(F.sum("tokens").alias("all_tokens"))
-    return per.join(F.broadcast(total)).select("source", "tokens", "docs", F.log(F.col("tokens") / F.col("all_tokens")).alias("ln_p"))
+    per = materialize(per, "sources")
+    total = per.agg(F.sum("tokens")).first()[0] or 1
+    return per.select("source", "tokens", "docs", F.log(F.col("tokens") / F.lit(total)).alias("ln_p"))
 
 
 def bisect_exponent(shares: DataFrame, entropy: float | None = ENTROPY, max_repeats: float | None = None) -> float:
@@ -49,13 +52,13 @@ def bisect_exponent(shares: DataFrame, entropy: float | None = ENTROPY, max_repe
         z = t.groupBy("i", "t").agg(F.sum(F.exp(F.col("t") * F.col("ln_p"))).alias("z"), F.sum(F.exp(F.col("t") * F.col("ln_p")) * F.col("t") * F.col("ln_p")).alias("zl"), F.max((F.col("t") - 1) * F.col("ln_p")).alias("top"), F.count("*").alias("s"))
         h = z.select("i", (F.log("z") - F.col("zl") / F.col("z")).alias("h"), (F.col("top") - F.log("z")).alias("rep"), "s").orderBy("i").collect()
         if entropy is not None:
-            good = [r["i"] for r in h if r["h"] >= entropy * F_ln(r["s"]) - 1e-12]
+            good = [r["i"] for r in h if r["h"] >= entropy * math.log(r["s"]) - 1e-12]
             if not good:
                 return 0.0
             i = max(good)
             low, high, found = grid[i], grid[min(64, i + 1)], grid[i]
         else:
-            good = [r["i"] for r in h if r["rep"] <= F_ln(max_repeats) + 1e-12]
+            good = [r["i"] for r in h if r["rep"] <= math.log(max_repeats) + 1e-12]
             if not good:
                 return 1.0
             i = min(good)
@@ -65,12 +68,6 @@ def bisect_exponent(shares: DataFrame, entropy: float | None = ENTROPY, max_repe
     return found
 
 
-def F_ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def mixing_plan(docs: DataFrame, entropy: float | None = ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, copy, source, tokens, epoch, block, position`` - a row for each time a document is used.
 
@@ -84,7 +81,7 @@ def mixing_plan(docs: DataFrame, entropy: float | None = ENTROPY, max_repeats: f
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words.cast("bigint").alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     copy = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).orderBy("digest"))
     rows = materialize(rows.withColumn("copy", copy).where("tokens > 0"), "tokens")
-    shares = materialize(source_shares(rows), "shares")
+    shares = source_shares(rows)
     if not shares.head(1):
         return rows.select("doc_id", "copy", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("position"))
     answers = [bisect_exponent(shares, entropy)] if entropy is not None else []
