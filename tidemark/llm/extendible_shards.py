@@ -50,9 +50,10 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", limit: int = LIMIT, text
     A shard's texts hold at most ``limit`` UTF-8 bytes; a single row that is larger is a shard of its own.
     Null text counts as 0 bytes, a null key as ''. Repeated keys share their bits until those run out and are
     then told apart by row. ``hashed`` replaces the hash bits (tests); ``size_col``
-    gives the bytes of rows that carry no text. Empty input: empty output.
+    gives the bytes of rows that carry no text. Empty input: empty output. Columns of
+    ``rows`` with the names of the new ones are replaced.
     """
-    kept = rows.columns
+    kept = [c for c in rows.columns if c not in ("shard", "shard_bytes", "shard_rows")]
     left = rows.withColumns({"__h": hashed if hashed is not None else hash_bits(F.col(key)), "__bytes": F.coalesce(F.col(size_col) if size_col else F.octet_length(text_col), F.lit(0)).cast("bigint")})
     base, lead, done = 0, "", []
     while True:
@@ -61,13 +62,13 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", limit: int = LIMIT, text
             break
         span = min(BITS - base, max(4, math.ceil(math.log2(max(1, total / limit))) + 5))
         known = _buckets(left, base, span, limit)
-        placed = left.withColumn("__fine", prefix(F.col("__h"), F.lit(base + span))).join(known.withColumnRenamed("fine", "__fine"), "__fine", "left")
-        bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(prefix(F.col("__h"), F.col("depth")).cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0")))
-        done.append(placed.where("depth is not null").select(*kept, F.concat(F.lit(lead), bits).alias("shard"), "shard_bytes", "shard_rows"))
+        placed = left.withColumn("__fine", prefix(F.col("__h"), F.lit(base + span))).join(known.select(*(F.col(c).alias(f"__{c}") for c in known.columns)), "__fine", "left")
+        bits = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(prefix(F.col("__h"), F.col("__depth")).cast("string"), 10, 2), F.col("__depth").cast("int"), F.lit("0")))
+        done.append(placed.where("__depth is not null").select(*kept, F.concat(F.lit(lead), bits).alias("shard"), F.col("__shard_bytes").alias("shard_bytes"), F.col("__shard_rows").alias("shard_rows")))
         over = left.groupBy(prefix(F.col("__h"), F.lit(base + span)).alias("f")).agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")).where((F.col("b") > limit) & (F.col("n") > 1))
         if over.isEmpty():
             break
-        left = materialize(placed.where("depth is null").select(*kept, "__h", "__bytes"), "oversized")
+        left = materialize(placed.where("__depth is null").select(*kept, "__h", "__bytes"), "oversized")
         base += span
         if base >= BITS:
             left = materialize(left.withColumn("__h", hash_bits(F.concat_ws("#", F.col("__h"), F.monotonically_increasing_id()))), "oversized")
