@@ -97,4 +97,6 @@ def count_tokens(docs: DataFrame, definition: str, cache_path: str | None = None
     fresh = todo.mapInArrow(_encoder(definition), "digest binary, n_tokens bigint").distinct()
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(path)
     counts = read_cache(spark, path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that both sides of the join are plain exchanges and a hot digest's rows can be split
+    counts = materialize(counts, "counts")
     return seen.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
