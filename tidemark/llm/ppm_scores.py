@@ -1,26 +1,28 @@
 """LM scoring: prediction by partial matching over bytes, and an add-one unigram baseline.
 
-PPM. Texts are lower-cased (A-Z) token sequences joined by one space, closed by an end symbol. Spark counts
-every (context, symbol) pair of ``ORDER`` context bytes over all training documents and rolls the counts
-up to the shorter contexts. The trie, flattened by order, is bounded: if it would exceed ``MAX_NODES``
-pairs, pairs under a count threshold go, the same one in every order, so that each context's symbols stay a
-subset of its suffix's. Escapes follow method D (half a count of
+PPM. Texts are lower-cased (A-Z) token sequences joined by one space, closed by an end symbol. The model counts
+every (context, symbol) pair of ``ORDER`` context bytes, and of all shorter contexts, over all training documents;
+no pair is dropped, so it grows with the input. Escapes follow method D (half a count of
 each distinct symbol goes to the escape). Because the symbol
 sets are nested, exclusion after an escape needs three numbers for a context: its total, its distinct
 symbols and the total that those symbols have in its suffix. The model is pretrained and fixed; scoring is
 table lookups over whole texts.
 
-Baseline. Chunks of documents keep (document, count) postings and send each hash range their words'
-hashes and training counts once per chunk; the range replies with corpus counts. Word identity is a 64-bit
-hash. Nothing grows with the vocabulary on the driver or in a broadcast.
+The trie lies in shards: ranges of contexts ordered by their last byte first, so a shard holds whole subtrees. Only
+contexts on the path to a shard's two ends cross shards; those counts are summed over all shards and given to the
+shards they touch. Chunks of documents send each shard their distinct pairs with training counts and
+get log probabilities back.
+
+Baseline. The same chunks send each hash range their words'
+hashes and training counts; the range replies with corpus counts. Word identity is a 64-bit
+hash. Nothing grows with the vocabulary or the trie on the driver or in a broadcast.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +31,11 @@ from .common import HashMemo, chunks, materialize, small_batches, total_bytes
 from .substring_dedup import planes, unplanes
 
 ORDER = 5
-MAX_NODES = 1_000_000
-CHUNK_BYTES = 2 << 20
-SCORE_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 RANGE_BYTES = 32 << 20
+#: Text from which the shards' ends are drawn, and one in how many of its contexts; results don't depend on them.
+SAMPLE_BYTES, SAMPLE_STEP = 16 << 20, 32
 START, END = 0xFE, 0xFF  # never in UTF-8
 END_WORD = b" "  # holds a space, so no word equals it
 SYMBOLS = 256  # 255 bytes and the end
@@ -42,13 +45,23 @@ def canonical(text: bytes | None) -> bytes:
     return b" ".join((text or b"").lower().split())
 
 
+def pieces(texts: list[bytes]):
+    """Slices of ``texts`` of about PIECE_BYTES, to bound memory."""
+    cut = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // PIECE_BYTES, prepend=0))
+    edge = [0, *(c for c in cut.tolist() if c), len(texts)]
+    yield from (slice(a, b) for a, b in zip(edge, edge[1:], strict=False))
+
+
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context << 8 | symbol) of every position of some texts, and the positions of each text."""
+    """Keys (context << 8 | symbol) of every position of some texts, and the positions of each text.
+
+    A context's last byte is its most significant one.
+    """
     pad = bytes([START]) * order
     b = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     key = np.zeros(max(0, len(b) - order), np.uint64)
-    for j in range(order + 1):
+    for j in (*range(order - 1, -1, -1), order):
         key <<= np.uint64(8)
         key |= b[j : j + len(key)]
     ends = np.cumsum(size + order)
@@ -58,33 +71,32 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[skip], size
 
 
-def _counter(order: int):
-    def run(batches):
-        held: list = []
-
-        def merge():
-            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            o = np.argsort(k)
-            k, c = k[o], c[o]
-            s = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            return k[s], np.add.reduceat(c, s)
-
-        def flush(k, c):
-            for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].view(np.int64)), pa.array(c[i : i + (1 << 16)])], ["key", "n"])
-
-        for rows in chunks(batches, lambda r: len(r[0] or b""), CHUNK_BYTES):
-            k, c = np.unique(grams([canonical(r[0]) for r in rows], order)[0], return_counts=True)
-            held = [(k, c), *held]
-            if len(held) > 1:
-                held = [merge()]
-            if len(held[0][0]) > 2_000_000:
-                yield from flush(*held[0])
-                held = []
-        if held:
-            yield from flush(*held[0])
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    o = np.argsort(k)
+    k, n = k[o], n[o]
+    s = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+    return k[s], np.add.reduceat(n, s) if len(s) else n
+
+
+def gram_counts(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all texts with their counts in those that are not held out."""
+    k, n = [], []
+    for part in pieces(texts):
+        for out in (False, True):
+            some = [t for t, h in zip(texts[part], held[part], strict=True) if h == out]
+            if some:
+                key, c = np.unique(grams(some, order)[0], return_counts=True)
+                k.append(key)
+                n.append(np.zeros_like(c) if out else c)
+    return summed(k, n)
 
-    return run
+
+def word_hashes(texts: list[bytes], memo: HashMemo) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and ends, and the number of each text."""
+    per = [np.fromiter(map(memo.__getitem__, [*t.split(), END_WORD]), np.uint64) for t in texts]
+    return np.concatenate(per), np.fromiter(map(len, per), np.int64, len(per))
 
 
 class Trie:
@@ -99,17 +111,13 @@ class Trie:
             total, distinct = (np.add.reduceat(n, s), np.diff(np.r_[s, len(ctx)])) if len(s) else (n, n)
             below = np.zeros(len(s), np.int64)
             if k and len(s):
-                below = np.add.reduceat(self._count(k - 1, self.cut(key, k)), s)
+                below = np.add.reduceat(self._count(k - 1, self.cut(key)), s)
             self.contexts.append((ctx[s], total, distinct, below))
-        key, n = levels[-1]
-        ctx, total, _, _ = self.contexts[-1]
-        at = np.searchsorted(ctx, key >> np.uint64(8))
-        self.top = (key, np.log10((2 * n - 1) / (2 * total[at])) if len(n) else n.astype(float))
 
     @staticmethod
-    def cut(key: np.ndarray, order: int) -> np.ndarray:
-        """Pair keys of ``order`` without the oldest context byte."""
-        return key & np.uint64((1 << (8 * order)) - 1)
+    def cut(key: np.ndarray) -> np.ndarray:
+        """Pair keys without the oldest context byte."""
+        return key >> np.uint64(16) << np.uint64(8) | key & np.uint64(0xFF)
 
     @staticmethod
     def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,178 +132,241 @@ class Trie:
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """log10 P(symbol | context) of highest-order pair keys, with escapes and exclusion."""
-        out, todo = np.zeros(len(key)), np.ones(len(key), bool)
+        out, todo = np.zeros(len(key)), np.arange(len(key))
         out_total, out_distinct = np.zeros(len(key)), np.zeros(len(key))  # excluded at this order
         for k in range(self.order, -1, -1):
             ctx, total, distinct, below = self.contexts[k]
             at, seen = self.find(ctx, key >> np.uint64(8))
-            seen &= todo
             n, d, b = (np.where(seen, x[at] if len(x) else 0, 0) for x in (total, distinct, below))
             left, kinds = n - out_total, d - out_distinct
             c = self._count(k, key)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = seen & (c > 0)
-                out[here] += np.log10((2 * c[here] - 1) / (2 * left[here]))
-                away = seen & ~here & (kinds > 0)
-                out[away] += np.log10(kinds[away] / (2 * left[away]))
-            todo &= ~here
-            out_total, out_distinct = np.where(seen, b, 0), np.where(seen, d, 0)
-            if k:
-                key = self.cut(key, k)
-        out[todo] -= np.log10(np.maximum(1, SYMBOLS - out_distinct[todo]))
+            here = seen & (c > 0)
+            out[todo[here]] += np.log10((2 * c[here] - 1) / (2 * left[here]))
+            away = seen & ~here & (kinds > 0)
+            out[todo[away]] += np.log10(kinds[away] / (2 * left[away]))
+            on = ~here
+            todo, out_total, out_distinct = todo[on], np.where(seen, b, 0)[on], np.where(seen, d, 0)[on]
+            key = self.cut(key[on])
+        out[todo] -= np.log10(np.maximum(1, SYMBOLS - out_distinct))
         return out
 
-    def table(self):
-        """Open-addressing table of the highest order: slots of keys and log probabilities."""
-        key, lp = self.top
-        bits = max(4, int(2 * max(1, len(key)) - 1).bit_length())
-        slots, value = np.full(1 << bits, 2**64 - 1, np.uint64), np.zeros(1 << bits, np.float32)
-        at, left = self.slot(key, bits), np.arange(len(key))
+
+class Table:
+    """Open-addressing table of distinct keys: ``find`` gives their places in the array."""
+
+    def __init__(self, key: np.ndarray):
+        self.bits = max(4, int(2 * max(1, len(key)) - 1).bit_length())
+        self.slots, self.place = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.zeros(1 << self.bits, np.int32)
+        at, left = self._slot(key), np.arange(len(key))
         while len(left):
-            free = slots[at[left]] == np.uint64(2**64 - 1)
-            slots[at[left[free]]] = key[left[free]]  # the last of equals wins
-            won = slots[at[left]] == key[left]
-            value[at[left[won]]] = lp[left[won]]
+            free = self.slots[at[left]] == np.uint64(2**64 - 1)
+            self.slots[at[left[free]]] = key[left[free]]  # the last of equals wins
+            won = self.slots[at[left]] == key[left]
+            self.place[at[left[won]]] = left[won]
             left = left[~won]
-            at[left] = (at[left] + 1) & ((1 << bits) - 1)
-        return bits, slots, value
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
-    @staticmethod
-    def slot(key: np.ndarray, bits: int) -> np.ndarray:
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def score_all(self, texts: list[bytes], table) -> np.ndarray:
-        """``score`` by pieces of about SCORE_BYTES, to bound memory."""
-        cut = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SCORE_BYTES, prepend=0))
-        edge = [0, *(c for c in cut.tolist() if c), len(texts)]
-        return np.concatenate([self.score(texts[a:b], table) for a, b in zip(edge, edge[1:], strict=False)])
-
-    def score(self, texts: list[bytes], table) -> np.ndarray:
-        """log10 probability of each canonical text."""
-        key, size = grams(texts, self.order)
-        bits, slots, value = table
-        at = self.slot(key, bits)
-        got = slots[at]
-        lp = value[at].astype(np.float64)
-        off = np.flatnonzero(got != key)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Places of keys that are all in the table."""
+        at = self._slot(key)
+        off = np.flatnonzero(self.slots[at] != key)
         while len(off):
-            end = got[off] == np.uint64(2**64 - 1)
-            if end.any():
-                u, inv = np.unique(key[off[end]], return_inverse=True)
-                lp[off[end]] = self.log10(u)[inv]
-            off = off[~end]
-            at[off] = (at[off] + 1) & ((1 << bits) - 1)
-            got[off] = slots[at[off]]
-            lp[off] = value[at[off]]
-            off = off[got[off] != key[off]]
-        return np.add.reduceat(lp, np.cumsum(size) - size) if len(size) else np.empty(0)
-
-
-def fit(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """Count the trie over all of ``docs`` (column ``text``). At most ``max_nodes`` pairs reach the driver."""
-    small_batches(docs.sparkSession)
-    top = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counter(order), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    masks = F.array(*(F.lit((1 << (8 * (k + 1))) - 1) for k in range(order + 1)))
-    flat = top.select("n", "key", F.posexplode(masks).alias("k", "mask")).groupBy("k", F.col("key").bitwiseAND(F.col("mask")).alias("key")).agg(F.sum("n").alias("n"))
-    flat = materialize(flat, "trie")
-    steps = sorted({int(2 ** (i / 2)) for i in range(80)})
-    sizes = flat.agg(*(F.count_if(F.col("n") >= t) for t in steps)).first()
-    least = next(t for t, n in zip(steps, sizes, strict=True) if n <= max_nodes)
-    got = flat.where(F.col("n") >= least).toArrow()
-    k, key, n = (got.column(c).to_numpy() for c in ("k", "key", "n"))
-    levels = []
-    for i in range(order + 1):
-        own = k == i
-        o = np.argsort(key[own].view(np.uint64))
-        levels.append((np.ascontiguousarray(key[own].view(np.uint64)[o]), np.ascontiguousarray(n[own][o])))
-    return Trie(levels)
-
-
-_REC = "chunk bigint, bucket int, doc_id array<bigint>, held array<boolean>, n_tokens array<bigint>, score array<double>, a binary, b binary, c binary"
-_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def _chunker(model, buckets: int):
+            at[off] = (at[off] + 1) & ((1 << self.bits) - 1)
+            off = off[self.slots[at[off]] != key[off]]
+        return self.place[at]
+
+
+def pack(values: np.ndarray) -> bytes:
+    return zstandard.compress(planes(values), 3)
+
+
+def unpack(blob: bytes, kind: type) -> np.ndarray:
+    return unplanes(zstandard.decompress(blob), kind)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+
+
+def shard_ends(rows: DataFrame, order: int, shards: int, size: int) -> np.ndarray:
+    """First contexts of all shards but the first, at quantiles of a sample's contexts."""
+
     def run(batches):
-        trie, memo, seq = model.value, HashMemo(), 0
-        table = trie.table()
+        for got in chunks(batches, lambda r: len(r[0] or b""), PIECE_BYTES):
+            ctx = np.unique(grams([canonical(r[0]) for r in got], order)[0] >> np.uint64(8))
+            ctx = ctx[(ctx * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) & np.uint64(SAMPLE_STEP - 1) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64))], ["ctx"])
+
+    some = rows.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, size)), seed=1).mapInArrow(run, "ctx bigint")
+    ctx = np.sort(some.toArrow().column("ctx").to_numpy()).astype(np.uint64)
+    if not len(ctx):
+        return ctx
+    return np.setdiff1d(ctx[np.arange(1, shards) * len(ctx) // shards], [0]).astype(np.uint64)
+
+
+def paths(ends: np.ndarray, shard: int, order: int) -> list[np.ndarray]:
+    """For each order below the highest, the contexts on the paths to the ends of a shard."""
+    near = ends[max(0, shard - 1) : shard + 1]
+    return [np.unique(near >> np.uint64(8 * (order - k))) for k in range(order)]
+
+
+_REC = "chunk bigint, bucket bigint, doc_id array<bigint>, held array<boolean>, a binary, b binary"
+_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _chunker(order: int, buckets: int, ends: np.ndarray):
+    """Records (bucket -1) hold texts; word hashes go to buckets from 0, pairs to buckets from ``buckets``."""
+    hash_edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+
+    def row(*values):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _ARROW.types, strict=True)], schema=_ARROW)
+
+    def packs(chunk, first, keys, n, edges):
+        at = np.searchsorted(keys, edges)
+        for b, (lo, hi) in enumerate(zip(np.r_[0, at], np.r_[at, len(keys)], strict=True)):
+            if hi > lo:
+                yield row(chunk, first + b, None, None, pack_sorted(keys[lo:hi]), pack(n[lo:hi].astype(np.uint64)))
+
+    def run(batches):
+        memo, seq = HashMemo(), 0
         for rows in chunks(batches, lambda r: len(r[1] or b"") + 64, CHUNK_BYTES):
-            for i in range(0, len(rows), 60_000):
-                part = rows[i : i + 60_000]
-                texts = [canonical(r[1]) for r in part]
-                score = trie.score_all(texts, table)
-                words = [[*t.split(), END_WORD] for t in texts]
-                n = np.fromiter(map(len, words), np.int64, len(words))
-                h = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
-                uniq, word = np.unique(h, return_inverse=True)
-                doc = np.repeat(np.arange(len(part)), n)
-                train = np.bincount(word, weights=np.repeat([not r[2] for r in part], n), minlength=len(uniq)).astype(np.uint64)
-                pair, tf = np.unique(word * len(part) + doc, return_counts=True)
-                per = np.bincount(pair // len(part), minlength=len(uniq)).astype(np.uint32)
-                chunk = (TaskContext.get().partitionId() << 32) + seq
-                seq += 1
-                out = [[chunk], [-1], [[r[0] for r in part]], [[r[2] for r in part]], [n], [score], [planes(per)], [planes((pair % len(part)).astype(np.uint16))], [planes(tf.astype(np.uint32))]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW.types, strict=True)], schema=_ARROW)
-                edges = np.searchsorted(uniq, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
-                for b, (lo, hi) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(uniq)], strict=True)):
-                    if hi > lo:
-                        out = [[chunk], [b], [None], [None], [None], [None], [planes(uniq[lo:hi])], [planes(train[lo:hi])], [None]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW.types, strict=True)], schema=_ARROW)
+            texts, held = [canonical(r[1]) for r in rows], np.array([r[2] for r in rows])
+            chunk = (TaskContext.get().partitionId() << 32) + seq
+            seq += 1
+            yield row(chunk, -1, [r[0] for r in rows], held, zstandard.compress(b"\n".join(texts), 6), None)
+            h, n = word_hashes(texts, memo)
+            uniq, word = np.unique(h, return_inverse=True)
+            train = np.bincount(word, weights=np.repeat(~held, n), minlength=len(uniq))
+            yield from packs(chunk, 0, uniq, train, hash_edges)
+            yield from packs(chunk, buckets, *gram_counts(texts, held, order), ends << np.uint64(8))
 
     return run
 
 
-def _reply(table: pa.Table) -> pa.Table:
+def _read_packs(table: pa.Table) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
+    """Chunks, keys and counts of packs."""
+    a, b = (table.column(c).to_pylist() for c in "ab")
+    return table.column("chunk").to_pylist(), [unpack_sorted(x) for x in a], [unpack(x, np.uint64).astype(np.int64) for x in b]
+
+
+def _word_reply(table: pa.Table) -> pa.Table:
     """A hash range's corpus counts for each chunk, with the range's tokens and distinct words."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket", "a", "b")), strict=True))
-    hs = [unplanes(r[2], np.uint64) for r in rows]
-    h, n = np.concatenate(hs), np.concatenate([unplanes(r[3], np.uint64) for r in rows])
-    order = np.argsort(h)
-    s = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
-    total = np.add.reduceat(n[order], s)
-    c = np.empty(len(h), np.uint64)
-    c[order] = np.repeat(total, np.diff(np.r_[s, len(h)]))
-    blobs = [planes(x) for x in np.split(c, np.cumsum([len(x) for x in hs])[:-1])]
-    first = [0] * (len(rows) - 1)
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "c": pa.array(blobs, pa.binary()), "tokens": pa.array([int(total.sum()), *first], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *first], pa.int64())})
-
-
-def _finisher(tokens: int, distinct: int):
+    ids, keys, counts = _read_packs(table)
+    uniq, total = summed(keys, counts)
+    blobs = [pack(total[np.searchsorted(uniq, k)].astype(np.uint64)) for k in keys]
+    first = [0] * (len(ids) - 1)
+    return pa.table({"chunk": pa.array(ids, pa.int64()), "bucket": table.column("bucket"), "c": pa.array(blobs, pa.binary()), "tokens": pa.array([int(total.sum()), *first], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *first], pa.int64())})
+
+
+def _own_levels(keys: list[np.ndarray], counts: list[np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pair counts of one shard, order by order from zero."""
+    key, n = summed(keys, counts)
+    levels = [(key[n > 0], n[n > 0])]
+    for _ in range(order):
+        levels.insert(0, summed([Trie.cut(levels[0][0])], [levels[0][1]]))
+    return levels
+
+
+def _crossing(order: int, buckets: int, ends: np.ndarray):
+    """A shard's part of the counts of contexts that may cross its ends."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, keys, counts = _read_packs(table)
+        shard, out = table.column("bucket")[0].as_py() - buckets, []
+        for k, ((key, n), ctx) in enumerate(zip(_own_levels(keys, counts, order), paths(ends, shard, order), strict=False)):
+            on = np.isin(key >> np.uint64(8), ctx)
+            out.append(pa.table({"k": pa.array([k] * int(on.sum()), pa.int32()), "key": key[on].view(np.int64), "n": n[on]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _shard_reply(order: int, buckets: int, ends: np.ndarray):
+    """Log probabilities for each chunk's pairs, from the shard's own pairs and the crossing contexts."""
+
+    def run(table: pa.Table, crossing: pa.Table) -> pa.Table:
+        ids, keys, counts = _read_packs(table)
+        levels = _own_levels(keys, counts, order) if ids else []
+        got_k, got_ctx = (crossing.column(c).to_numpy() for c in ("k", "ctx"))
+        sym, n = (crossing.column(c) for c in ("sym", "n"))
+        for k in range(order if ids else 0):
+            key, own = levels[k]
+            rows = np.flatnonzero(got_k == k)
+            keep = ~np.isin(key >> np.uint64(8), got_ctx[rows].astype(np.uint64))
+            more = [np.uint64(got_ctx[r]) << np.uint64(8) | np.array(sym[r].as_py(), np.uint64) for r in rows]
+            levels[k] = summed([key[keep], *more], [own[keep], *(np.array(n[r].as_py(), np.int64) for r in rows)])
+        blobs = []
+        if ids:
+            trie, uniq = Trie(levels), np.unique(np.concatenate(keys))
+            lp = trie.log10(uniq).astype(np.float32)
+            blobs = [pack(lp[np.searchsorted(uniq, k)]) for k in keys]
+        return pa.table({"chunk": pa.array(ids, pa.int64()), "bucket": pa.array(table.column("bucket").to_pylist(), pa.int64()), "c": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _finisher(order: int, buckets: int, tokens: int, distinct: int):
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(record: pa.Table, replies: pa.Table) -> pa.Table:
-        cols = {k: [] for k in names}
-        for row in record.to_pylist():
-            c = np.concatenate([unplanes(r["c"], np.uint64) for r in sorted(replies.to_pylist(), key=lambda r: r["bucket"])])
-            per, doc, tf = unplanes(row["a"], np.uint32), unplanes(row["b"], np.uint16), unplanes(row["c"], np.uint32)
-            word, docs, n = np.repeat(np.arange(len(c)), per), len(row["doc_id"]), np.array(row["n_tokens"])
-            base = np.bincount(doc, weights=tf * np.log10(c + 1.0)[word], minlength=docs) - n * np.log10(tokens + distinct + 1.0)
-            known = np.bincount(doc, weights=tf * (c > 0)[word], minlength=docs).astype(np.int64)
-            for k, v in zip(names, (row["doc_id"], row["held"], row["n_tokens"], known.tolist(), [tokens] * docs, base.tolist(), row["score"]), strict=True):
-                cols[k] += v
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(cols[k], t) for k, t in zip(names, types, strict=True)], names=names)
+        got = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+        c = np.concatenate([unpack(r["c"], np.uint64) for r in got if r["bucket"] < buckets]).astype(np.int64)
+        lp = np.concatenate([unpack(r["c"], np.float32) for r in got if r["bucket"] >= buckets])
+        row = record.to_pylist()[0]
+        texts = zstandard.decompress(row["a"]).split(b"\n")
+        h, n = word_hashes(texts, HashMemo())
+        c = c[np.unique(h, return_inverse=True)[1]]
+        at = np.cumsum(n) - n
+        base = np.add.reduceat(np.log10(c + 1.0), at) - n * np.log10(tokens + distinct + 1.0)
+        known = np.add.reduceat((c > 0).astype(np.int64), at)
+        table = Table(gram_counts(texts, np.zeros(len(texts), bool), order)[0])
+        score = []
+        for part in pieces(texts):
+            key, size = grams(texts[part], order)
+            score.append(np.add.reduceat(lp[table.find(key)].astype(np.float64), np.cumsum(size) - size))
+        cols = (row["doc_id"], row["held"], n, known, [tokens] * len(n), base, np.concatenate(score))
+        return pa.table([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out, order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``held_out``: a boolean column; the other rows train both models (null counts as training). Null text counts
     as empty: one token, the end. Repeated rows are all scored and all train. Without training rows, the
     baseline gives every token log10(1 / 1) and PPM gives every symbol 1 / 256. Empty input: empty output.
+    ``order``: context bytes, 1 to 6.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    trie = fit(rows.where("not held"), order, max_nodes)
-    buckets = max(4, -(-total_bytes(docs) // RANGE_BYTES))
-    model = spark.sparkContext.broadcast(trie)  # bounded by max_nodes
-    parts = materialize(rows.mapInArrow(_chunker(model, buckets), _REC), "chunks")
-    replies = parts.where("bucket >= 0").select("chunk", "bucket", "a", "b").groupBy("bucket").applyInArrow(_reply, "chunk bigint, bucket int, c binary, tokens bigint, distinct bigint")
-    replies = materialize(replies, "counts")
-    total = replies.agg(F.sum("tokens"), F.sum("distinct")).first()
-    records = parts.where("bucket = -1").drop("bucket")
-    return records.groupBy("chunk").cogroup(replies.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(
-        _finisher(total[0] or 0, total[1] or 0), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    size = total_bytes(docs)
+    buckets = max(4, -(-size // RANGE_BYTES))
+    ends = shard_ends(rows, order, buckets, size)
+    parts = materialize(rows.mapInArrow(_chunker(order, buckets, ends), _REC), "chunks")
+    packs = parts.select("chunk", "bucket", "a", "b")
+    words = packs.where((F.col("bucket") >= 0) & (F.col("bucket") < buckets)).groupBy("bucket").applyInArrow(_word_reply, "chunk bigint, bucket bigint, c binary, tokens bigint, distinct bigint")
+    words = materialize(words, "counts")
+    total = words.agg(F.sum("tokens"), F.sum("distinct")).first()
+    pairs = packs.where(F.col("bucket") >= buckets)
+    crossing = pairs.groupBy("bucket").applyInArrow(_crossing(order, buckets, ends), "k int, key bigint, n bigint")
+    crossing = crossing.groupBy("k", "key").agg(F.sum("n").alias("n"))
+    crossing = crossing.groupBy("k", F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.collect_list(F.struct(F.col("key").bitwiseAND(255).alias("sym"), "n")).alias("p"))  # at most 256
+    need = [(buckets + b, k, int(c)) for b in range(len(ends) + 1) for k, ctx in enumerate(paths(ends, b, order)) for c in ctx]
+    crossing = spark.createDataFrame(need, "bucket bigint, k int, ctx bigint").join(crossing, ["k", "ctx"])
+    crossing = crossing.select("bucket", "k", "ctx", F.col("p.sym").alias("sym"), F.col("p.n").alias("n"))
+    scores = pairs.groupBy("bucket").cogroup(crossing.groupBy("bucket")).applyInArrow(_shard_reply(order, buckets, ends), "chunk bigint, bucket bigint, c binary")
+    replies = words.select("chunk", "bucket", "c").unionByName(scores)
+    records = parts.where("bucket = -1").drop("bucket", "b")
+    return records.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        _finisher(order, buckets, total[0] or 0, total[1] or 0), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
