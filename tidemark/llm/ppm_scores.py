@@ -34,6 +34,7 @@ ORDER = 5
 CHUNK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 RANGE_BYTES = 32 << 20
+MERGE_KEYS = 1_000_000
 #: Text from which the shards' ends are drawn, and one in how many of its contexts; results don't depend on them.
 SAMPLE_BYTES, SAMPLE_STEP = 16 << 20, 32
 START, END = 0xFE, 0xFF  # never in UTF-8
@@ -232,7 +233,7 @@ def _chunker(order: int, buckets: int, ends: np.ndarray):
         at = np.searchsorted(keys, edges)
         for b, (lo, hi) in enumerate(zip(np.r_[0, at], np.r_[at, len(keys)], strict=True)):
             if hi > lo:
-                yield row(chunk, first + b, None, None, pack_sorted(keys[lo:hi]), pack(n[lo:hi].astype(np.uint64)))
+                yield row(chunk, first + b, None, None, pack_sorted(keys[lo:hi]), pack(n[lo:hi].astype(np.int64)))
 
     def run(batches):
         memo, seq = HashMemo(), 0
@@ -250,24 +251,31 @@ def _chunker(order: int, buckets: int, ends: np.ndarray):
     return run
 
 
-def _read_packs(table: pa.Table) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
-    """Chunks, keys and counts of packs."""
-    a, b = (table.column(c).to_pylist() for c in "ab")
-    return table.column("chunk").to_pylist(), [unpack_sorted(x) for x in a], [unpack(x, np.uint64).astype(np.int64) for x in b]
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and summed counts of packs, merged as they pile up so that memory follows the distinct keys."""
+    held, n = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+    for a, b in zip(table.column("a"), table.column("b"), strict=True):
+        held.append((unpack_sorted(a.as_py()), unpack(b.as_py(), np.int64)))
+        n += len(held[-1][0])
+        if n > max(MERGE_KEYS, len(held[0][0])):
+            held, n = [summed(*zip(*held, strict=True))], 0
+    return summed(*zip(*held, strict=True))
+
+
+def _replies(table: pa.Table, uniq: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """For each pack, the values at its keys."""
+    return [pack(values[np.searchsorted(uniq, unpack_sorted(a.as_py()))]) for a in table.column("a")]
 
 
 def _word_reply(table: pa.Table) -> pa.Table:
     """A hash range's corpus counts for each chunk, with the range's tokens and distinct words."""
-    ids, keys, counts = _read_packs(table)
-    uniq, total = summed(keys, counts)
-    blobs = [pack(total[np.searchsorted(uniq, k)].astype(np.uint64)) for k in keys]
-    first = [0] * (len(ids) - 1)
-    return pa.table({"chunk": pa.array(ids, pa.int64()), "bucket": table.column("bucket"), "c": pa.array(blobs, pa.binary()), "tokens": pa.array([int(total.sum()), *first], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *first], pa.int64())})
+    uniq, total = _merged(table)
+    first = [0] * (table.num_rows - 1)
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "c": pa.array(_replies(table, uniq, total), pa.binary()), "tokens": pa.array([int(total.sum()), *first], pa.int64()), "distinct": pa.array([int((total > 0).sum()), *first], pa.int64())})
 
 
-def _own_levels(keys: list[np.ndarray], counts: list[np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _own_levels(key: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pair counts of one shard, order by order from zero."""
-    key, n = summed(keys, counts)
     levels = [(key[n > 0], n[n > 0])]
     for _ in range(order):
         levels.insert(0, summed([Trie.cut(levels[0][0])], [levels[0][1]]))
@@ -278,9 +286,8 @@ def _crossing(order: int, buckets: int, ends: np.ndarray):
     """A shard's part of the counts of contexts that may cross its ends."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, keys, counts = _read_packs(table)
         shard, out = table.column("bucket")[0].as_py() - buckets, []
-        for k, ((key, n), ctx) in enumerate(zip(_own_levels(keys, counts, order), paths(ends, shard, order), strict=False)):
+        for k, ((key, n), ctx) in enumerate(zip(_own_levels(*_merged(table), order), paths(ends, shard, order), strict=False)):
             on = np.isin(key >> np.uint64(8), ctx)
             out.append(pa.table({"k": pa.array([k] * int(on.sum()), pa.int32()), "key": key[on].view(np.int64), "n": n[on]}))
         return pa.concat_tables(out)
@@ -292,22 +299,18 @@ def _shard_reply(order: int, buckets: int, ends: np.ndarray):
     """Log probabilities for each chunk's pairs, from the shard's own pairs and the crossing contexts."""
 
     def run(table: pa.Table, crossing: pa.Table) -> pa.Table:
-        ids, keys, counts = _read_packs(table)
-        levels = _own_levels(keys, counts, order) if ids else []
+        uniq, counts = _merged(table)
+        levels = _own_levels(uniq, counts, order)
         got_k, got_ctx = (crossing.column(c).to_numpy() for c in ("k", "ctx"))
         sym, n = (crossing.column(c) for c in ("sym", "n"))
-        for k in range(order if ids else 0):
+        for k in range(order):
             key, own = levels[k]
             rows = np.flatnonzero(got_k == k)
             keep = ~np.isin(key >> np.uint64(8), got_ctx[rows].astype(np.uint64))
             more = [np.uint64(got_ctx[r]) << np.uint64(8) | np.array(sym[r].as_py(), np.uint64) for r in rows]
             levels[k] = summed([key[keep], *more], [own[keep], *(np.array(n[r].as_py(), np.int64) for r in rows)])
-        blobs = []
-        if ids:
-            trie, uniq = Trie(levels), np.unique(np.concatenate(keys))
-            lp = trie.log10(uniq).astype(np.float32)
-            blobs = [pack(lp[np.searchsorted(uniq, k)]) for k in keys]
-        return pa.table({"chunk": pa.array(ids, pa.int64()), "bucket": pa.array(table.column("bucket").to_pylist(), pa.int64()), "c": pa.array(blobs, pa.binary())})
+        blobs = _replies(table, uniq, Trie(levels).log10(uniq).astype(np.float32))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "c": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -318,7 +321,7 @@ def _finisher(order: int, buckets: int, tokens: int, distinct: int):
 
     def run(record: pa.Table, replies: pa.Table) -> pa.Table:
         got = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        c = np.concatenate([unpack(r["c"], np.uint64) for r in got if r["bucket"] < buckets]).astype(np.int64)
+        c = np.concatenate([unpack(r["c"], np.int64) for r in got if r["bucket"] < buckets])
         lp = np.concatenate([unpack(r["c"], np.float32) for r in got if r["bucket"] >= buckets])
         row = record.to_pylist()[0]
         texts = zstandard.decompress(row["a"]).split(b"\n")
