@@ -91,6 +91,11 @@ def hlc_update_standard(now: Column, pt: Column, c: Column, remote_pt: Column, r
     return F.struct(top.alias("pt"), n.alias("c"))
 
 
+def hlc_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for two structs of (pt, c)."""
+    return F.when(a < b, -1).when(a == b, 0).otherwise(1)
+
+
 def request_id(node: Column, second: Column, seq: Column) -> Column:
     return F.format_string("%s-%08x-%04x", node, second, seq)
 

@@ -48,3 +48,24 @@ def newest_files(files: DataFrame) -> DataFrame:
     """Chunk files ``name, size``: the highest sequence of each id among parsable, non-empty files."""
     parsed = files.where("size > 0").select("name", F.regexp_extract("name", r"^btree_(\d+)_(\d+)\.ao$", 1).alias("i"), F.regexp_extract("name", r"^btree_(\d+)_(\d+)\.ao$", 2).alias("s")).where("i <> ''")
     return parsed.groupBy(F.col("i").cast("bigint").alias("chunk_id")).agg(F.max(F.col("s").cast("bigint")).alias("seq"), F.max_by("name", F.col("s").cast("bigint")).alias("name"))
+
+
+def tombstone_ratios(state: DataFrame) -> DataFrame:
+    """Entries, tombstones and their ratio of each ``page`` of a state with tombstones."""
+    out = state.groupBy("page").agg(F.count("*").alias("entries"), F.count_if("is_deleted").alias("tombstones"))
+    return out.withColumn("ratio", F.col("tombstones") / F.col("entries"))
+
+
+def reclaimable(retired: DataFrame, readers: DataFrame) -> DataFrame:
+    """Per ``epoch`` of retired pages, whether it lies before the epochs of all active readers."""
+    safe = readers.agg(F.min("epoch").alias("safe"))  # one row
+    out = retired.groupBy("epoch").agg(F.count("*").alias("pages")).join(F.broadcast(safe))
+    return out.select("epoch", "pages", F.coalesce(F.col("epoch") < F.col("safe"), F.lit(True)).alias("reclaimable"))
+
+
+def triggers(writes: DataFrame, every: int, idle_ms: int) -> DataFrame:
+    """Writes (``store, seq, at`` in ms) at which a store's checkpoint starts, by count or after an idle time."""
+    w = Window.partitionBy("store").orderBy("seq")
+    by_count = F.row_number().over(w) % every == 0
+    by_idle = F.coalesce(F.col("at") - F.lag("at").over(w) > idle_ms, F.lit(False))
+    return writes.select("store", "seq", by_count.alias("by_count"), by_idle.alias("by_idle")).where("by_count or by_idle")

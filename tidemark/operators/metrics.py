@@ -70,3 +70,17 @@ def trips(calls: DataFrame, least: int = 10, share: float = 0.5, streak: int = 5
     runs = calls.withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("peer", "run").agg(F.count("*").alias("n"), F.count_if("failed").alias("bad"))
     out = runs.groupBy("peer").agg(F.sum("n").alias("requests"), F.sum("bad").alias("failures"), F.max("bad").alias("longest_streak"))
     return out.withColumn("tripped", ((F.col("requests") >= least) & (F.col("failures") >= share * F.col("requests"))) | (F.col("longest_streak") >= streak))
+
+
+def strategies(outcomes: DataFrame) -> DataFrame:
+    """Per task of ``task_id, ok`` and strategy (all, majority, none): whether the answers satisfy it."""
+    n = outcomes.groupBy("task_id").agg(F.count("*").alias("total"), F.count_if("ok").alias("success"))
+    rules = {"all": F.col("success") == F.col("total"), "majority": F.col("success") >= F.expr("total div 2 + 1"), "none": F.lit(True)}
+    return n.select("task_id", F.inline(F.array(*(F.struct(F.lit(k).alias("strategy"), v.alias("passed")) for k, v in rules.items()))))
+
+
+def quorum_of(outcomes: DataFrame, k: int) -> DataFrame:
+    """Per task of ``task_id, ok, at``: whether ``k`` peers answered, and when the k-th did."""
+    times = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("at"))))
+    out = outcomes.groupBy("task_id").agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), times.alias("t"))
+    return out.select("task_id", "total", "success", (F.col("success") >= k).alias("reached"), F.get("t", F.lit(k - 1)).alias("reached_at"))
