@@ -81,17 +81,29 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[s], np.add.reduceat(n, s) if len(s) else n
 
 
+def merged(parts, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``summed`` over a stream of keys and counts, merged as they pile up so that memory follows the distinct keys."""
+    held, n = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > max(least, len(held[0][0])):
+            held, n = [summed(*zip(*held, strict=True))], 0
+    return summed(*zip(*held, strict=True))
+
+
 def gram_counts(texts: list[bytes], held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all texts with their counts in those that are not held out."""
-    k, n = [], []
-    for part in pieces(texts):
-        for out in (False, True):
-            some = [t for t, h in zip(texts[part], held[part], strict=True) if h == out]
-            if some:
-                key, c = np.unique(grams(some, order)[0], return_counts=True)
-                k.append(key)
-                n.append(np.zeros_like(c) if out else c)
-    return summed(k, n)
+
+    def parts():
+        for part in pieces(texts):
+            for out in (False, True):
+                some = [t for t, h in zip(texts[part], held[part], strict=True) if h == out]
+                if some:
+                    key, c = np.unique(grams(some, order)[0], return_counts=True)
+                    yield key, np.zeros_like(c) if out else c
+
+    return merged(parts(), MERGE_KEYS // 4)
 
 
 def word_hashes(texts: list[bytes], memo: HashMemo) -> tuple[np.ndarray, np.ndarray]:
@@ -252,14 +264,8 @@ def _chunker(order: int, buckets: int, ends: np.ndarray):
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and summed counts of packs, merged as they pile up so that memory follows the distinct keys."""
-    held, n = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
-    for a, b in zip(table.column("a"), table.column("b"), strict=True):
-        held.append((unpack_sorted(a.as_py()), unpack(b.as_py(), np.int64)))
-        n += len(held[-1][0])
-        if n > max(MERGE_KEYS, len(held[0][0])):
-            held, n = [summed(*zip(*held, strict=True))], 0
-    return summed(*zip(*held, strict=True))
+    """Distinct keys and summed counts of packs."""
+    return merged(((unpack_sorted(a.as_py()), unpack(b.as_py(), np.int64)) for a, b in zip(table.column("a"), table.column("b"), strict=True)), MERGE_KEYS)
 
 
 def _replies(table: pa.Table, uniq: np.ndarray, values: np.ndarray) -> list[bytes]:
