@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, extendible_shards, quality_ranker, simhash_dedup, temperature_mix
+from tidemark.llm import decontaminate, extendible_shards, near_copies, quality_ranker, temperature_mix
 from tidemark.llm.common import scratch
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies."""
-    return simhash_dedup.one_per_group(docs)
+    """One document (the smallest doc_id) of each group that five-word shingles link at a similarity of 0.8 or more."""
+    return near_copies.one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

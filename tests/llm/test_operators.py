@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import (
-    decontaminate, edit_fingerprints, extendible_shards, pii_spans, ppm_scores, quality_ranker, queries, simhash_dedup,
+    decontaminate, edit_fingerprints, extendible_shards, near_copies, pii_spans, ppm_scores, quality_ranker, queries, simhash_dedup,
     substring_dedup, temperature_mix, token_counts,
 )
 
@@ -160,6 +160,57 @@ def test_vantage_points_lose_no_link(spark):
     assert {(r.node, r.root) for r in got} == {(a, r) for a, r in want.items() if sizes[r] > 1}
 
 
+def edited_copies(rng, words, base, at):
+    out = []
+    for k in at:
+        w = list(base)
+        for i in rng.sample(range(len(w)), k):
+            w[i] = rng.choice(words)
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_copies(spark, docs, empty):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for size in (40, 120, 300, 900):
+        base = [rng.choice(words) for _ in range(size)]
+        texts += [" ".join(base).upper(), *edited_copies(rng, words, base, [0, 1, 1, 2, 3, 4, 6, 8, size // 30, size // 10])]
+    texts += ["one two", "One  two", "one two three", "", None, " "]
+    extra = spark.createDataFrame([(1000 + i, t, *[None] * 10) for i, t in enumerate(texts)], SCHEMA)
+    every = docs.unionByName(extra)
+    rows = {(i, t) for i, t in [*ROWS, *((1000 + i, (t or "").encode()) for i, t in enumerate(texts))] if i is not None}
+
+    def shingles(t):
+        w = t.lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {r: shingles(r[1]) for r in rows}
+    nodes = sorted(set(sets.values()), key=lambda s: min(i for (i, _), x in sets.items() if x == s))
+    roots = closure(list(range(len(nodes))), lambda a, b: len(nodes[a] & nodes[b]) >= 0.8 * len(nodes[a] | nodes[b]))
+    low = {}
+    for (i, _), s in sets.items():
+        r = roots[nodes.index(s)]
+        low[r] = min(low.get(r, i), i)
+    kept = near_copies.one_per_group(every)
+    assert kept.columns == every.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) - {None} == set(low.values())
+    assert near_copies.one_per_group(empty).collect() == []
+
+
+def test_near_copies_in_a_hot_group(spark):
+    """Copies of one text, each similar to it and most not to each other, end in one group."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(base), *edited_copies(rng, words, base, [3] * 300), *(" ".join(rng.choice(words) for _ in range(50)) for _ in range(50))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert near_copies.one_per_group(docs).count() == 51
+
+
 def test_quality(spark, docs, empty):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
