@@ -19,6 +19,7 @@ from tidemark.llm import (
     decontaminate, edit_fingerprints, extendible_shards, near_copies, pii_spans, ppm_scores, quality_ranker, queries, simhash_dedup,
     substring_dedup, temperature_mix, token_counts,
 )
+from tidemark.llm.common import HashMemo
 
 SF = "/root/testdata/sf0.001"
 #: Clashing names: operators use some of these inside.
@@ -211,6 +212,22 @@ def test_near_copies_in_a_hot_group(spark):
     assert near_copies.one_per_group(docs).count() == 51
 
 
+def test_near_copies_in_chains_through_a_hub(spark):
+    """A copy of a hub's copy that is not similar to the hub is still linked to its parent, if they share a band."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(200)]
+    first = edited_copies(rng, words, base, [1] * 60)
+    second = [t for f in first for t in edited_copies(rng, words, f.split(), [4])]
+    texts = [" ".join(base), *first, *second]
+    hashes = [np.unique(near_copies.shingle_hashes(t.encode(), 5, HashMemo())) for t in texts]
+    sets, bands = [frozenset(h.tolist()) for h in hashes], [set(near_copies.bands(h)) for h in hashes]
+    roots = closure(list(range(len(texts))), lambda a, b: bands[a] & bands[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sum(len(sets[0] & s) < 0.8 * len(sets[0] | s) for s in sets) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.one_per_group(docs).collect()) == sorted(set(roots.values()))
+
+
 def test_quality(spark, docs, empty):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
