@@ -241,6 +241,17 @@ def test_quality(spark, docs, empty):
     assert {r.quality_score for r in quality_ranker.score(docs, none).collect()} == {0.5}
 
 
+def test_quality_threshold_counts_all_labels(spark):
+    """The share that is rejected does not follow the bound of the sample."""
+    rng = random.Random(3)
+    d = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") * 4 for _ in range(40)) + " !!! ###" * (rng.randrange(3, 40) if i % 8 == 0 else rng.randrange(0, 8))) for i in range(1600)], "doc_id bigint, text string")
+    lab = d.select("doc_id", F.when(F.col("doc_id") % 8 == 0, 0).otherwise(1).alias("quality"))
+    for bound in (100, 8000):
+        model = quality_ranker.fit(d, lab, F.lit(True), bound)
+        low = quality_ranker.score(d, model, ["doc_id"]).where("quality_score < 0.5").count()
+        assert abs(low / 1600 - 1 / 8) < 0.03
+
+
 def test_shards(docs, empty):
     out = extendible_shards.assign_shards(docs, limit=3000).collect()
     assert len(out) == len(ROWS)
