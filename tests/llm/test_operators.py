@@ -307,6 +307,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_passages_near_the_bound(spark):
+    """Items with random letters changed down to a similarity of 0.8, against brute force."""
+    rng, items, texts = random.Random(8), {}, {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10)))
+    for i in range(120):
+        items[i] = " ".join(word() for _ in range((16, 22, 30, 45)[i % 4]))
+        s = list(items[i])
+        for at in rng.sample(range(len(s)), len(s) // 5 - 1):
+            s[at] = rng.choice("qrstuvwxyz") if s[at] != " " else " "
+        texts[i] = f"{word()} {''.join(s)} " + " ".join(word() for _ in range(60))
+    want = {i for i in items if decontaminate.substring_distance(items[i], texts[i], int(0.2 * len(items[i]))) is not None}
+    got = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
+    found = {r.doc_id for r in got if r.doc_id == r.item_id}
+    assert len(want) > 100 and found <= want and len(found) >= 0.97 * len(want), (len(found), len(want))
+
+
 def test_substring_distance():
     def plain(p, t):
         row = [0] * (len(t) + 1)
