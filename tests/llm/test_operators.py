@@ -290,6 +290,23 @@ def test_fingerprints(docs, empty):
     assert edit_fingerprints.compare_with_edits(empty).collect() == []
 
 
+def test_near_groups_of_unequal_fingerprints(spark):
+    """Chains of near fingerprints whose bands are also shared by unrelated ones, against brute force."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        f = [rng.randrange(2) for _ in range(128)]  # two values: unrelated ones share bands too
+        for _ in range(5):
+            rows.append(bytes(f))
+            for at in rng.sample(range(128), 20):
+                f[at] = rng.randrange(2, 200)
+    rng.shuffle(rows)
+    band = lambda a, b: any(a[k : k + 4] == b[k : k + 4] for k in range(0, 128, 4))
+    roots = closure(list(range(len(rows))), lambda a, b: band(rows[a], rows[b]) and sum(map(int.__eq__, rows[a], rows[b])) >= 0.8 * 128)
+    prints = spark.createDataFrame([(i, f.hex()) for i, f in enumerate(rows)], "doc_id bigint, fingerprint string")
+    assert {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(prints).collect()} == roots
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(5)
     item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(40))
