@@ -37,6 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of frames from ``materialize`` that nothing reads any more."""
+    for f in frames:
+        spark = f.sparkSession
+        for folder in {x.rpartition("/")[0] for x in f.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -94,6 +103,7 @@ def resolve_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     cur = materialize(cur, "edges")
     seen = None
     for _ in range(max_rounds):
+        last = cur
         both = cur.select(F.col("v").alias("u"), F.col("m").alias("n")).unionByName(
             cur.select(F.col("m").alias("u"), F.col("v").alias("n"))
         )
@@ -103,6 +113,7 @@ def resolve_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("m").alias("lo"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("lo").alias("m")), F.struct(F.col("m").alias("v"), F.col("lo").alias("m")))).alias("e"))
         cur = materialize(small.select("e.v", "e.m").where("v <> m").distinct(), "edges")
+        discard(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == seen:
             return cur.select(F.col("v").alias("node"), F.col("m").alias("root")).unionByName(
