@@ -328,30 +328,58 @@ def test_decontamination(spark, docs, empty):
     near[7], near[20], near[33] = "changed", "words", "here"
     far = item.split()
     rng.shuffle(far)
-    extra = spark.createDataFrame([(900, f"before {item.upper()} after"), (901, "x " * 50 + " ".join(near)), (902, " ".join(far)), (903, " ".join(item.split()[:15])), (904, COPY)], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "too short"), (4, ""), (None, COPY)], "item_id bigint, text string")
+    extra = spark.createDataFrame([(900, f"before {item.upper()} after"), (901, "x " * 50 + " ".join(near)), (902, " ".join(far)), (903, " ".join(item.split()[:15])), (904, COPY), (905, "it came before shade fell"), (906, "abefore shade"), (907, "before shades")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "too short"), (4, ""), (None, COPY), (5, item), (6, "Before  Shade")], "item_id bigint, text string")
     every = docs.select("doc_id", "text").unionByName(extra)
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(every, bench).collect()}
-    assert set(got) == {(900, 1), (901, 1)} and got[900, 1] == 0
-    assert got[901, 1] <= 0.2 * len(item)
-    assert decontaminate.clean(every, bench).count() == every.count() - 2
+    assert set(got) == {(900, 1), (901, 1), (900, 5), (901, 5), (905, 6)} and got[900, 1] == got[905, 6] == 0
+    assert got[901, 1] == got[901, 5] <= 0.2 * len(item)
+    assert decontaminate.clean(every, bench).count() == every.count() - 3
+    odd = every.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("item_id", "level", "hash", "place", "items")))
+    again = decontaminate.contaminated(odd.unionByName(odd), bench.withColumn("doc_id", F.lit(3)))
+    assert {(r.doc_id, r.item_id): r.distance for r in again.collect()} == got
     assert decontaminate.contaminated(empty, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
-def test_decontamination_finds_passages_near_the_bound(spark):
-    """Items with random letters changed down to a similarity of 0.8, against brute force."""
+def _words_replaced(rng, word, w):
+    w = list(w)
+    for i in rng.sample(range(len(w)), len(w) // 5):
+        w[i] = word()
+    return " ".join(w)
+
+
+def _typos(rng, word, w):
+    typo = lambda x: x[: (k := rng.randrange(len(x)))] + rng.choice("qrstuvwxyz") + x[k + 1 :]
+    return " ".join(typo(x) if rng.random() < 0.4 else x for x in w)
+
+
+def _letters_changed(rng, word, w):
+    s = list(" ".join(w))
+    for _ in range(len(s) // 5):
+        at, kind = rng.randrange(len(s)), rng.random()
+        s[at : at + (kind > 0.2)] = [rng.choice("qrstuvwxyz")] * (kind < 0.8)
+    return "".join(s)
+
+
+@pytest.mark.parametrize("change", [_words_replaced, _typos, _letters_changed])
+def test_decontamination_finds_passages_near_the_bound(spark, change):
+    """Items of 5 words and more, edited down to a similarity of 0.8, against brute force over all pairs."""
     rng, items, texts = random.Random(8), {}, {}
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10)))
-    for i in range(120):
-        items[i] = " ".join(word() for _ in range((16, 22, 30, 45)[i % 4]))
-        s = list(items[i])
-        for at in rng.sample(range(len(s)), len(s) // 5 - 1):
-            s[at] = rng.choice("qrstuvwxyz") if s[at] != " " else " "
-        texts[i] = f"{word()} {''.join(s)} " + " ".join(word() for _ in range(60))
+    sizes = (5, 6, 8, 10, 15, 20, 30, 45)
+    for i in range(240):
+        w = [word() for _ in range(sizes[i % 8])]
+        items[i] = " ".join(w)
+        texts[i] = f"{word()} {change(rng, word, w)} " + " ".join(word() for _ in range(60))
     want = {i for i in items if decontaminate.substring_distance(items[i], texts[i], int(0.2 * len(items[i]))) is not None}
     got = decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
     found = {r.doc_id for r in got if r.doc_id == r.item_id}
-    assert len(want) > 100 and found <= want and len(found) >= 0.97 * len(want), (len(found), len(want))
+    assert len(want) > 100 and found <= want
+    for k, n in enumerate(sizes):
+        own = {i for i in want if i % 8 == k}
+        assert len(found & own) >= 0.9 * len(own), (n, len(found & own), len(own))
+    own = {i for i in want if sizes[i % 8] > 15}
+    assert len(found & own) >= 0.97 * len(own), (len(found & own), len(own))
 
 
 def test_substring_distance():
@@ -368,6 +396,8 @@ def test_substring_distance():
     for _ in range(60):
         p, t = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 25))) for _ in range(2))
         assert decontaminate.substring_distance(p, t, 99) == plain(p, t)
+    pairs = [tuple("".join(rng.choice("abñ漢") for _ in range(rng.randrange(1, 300))) for _ in range(2)) for _ in range(30)]
+    assert decontaminate.substring_distances(pairs).tolist() == [plain(p, t) for p, t in pairs]
 
 
 def test_mixing(docs, empty):
