@@ -3,7 +3,7 @@
 1. Map: words of each document are hashed, a polynomial hash mod 2**64 covers every window of
    ``window`` words. A chunk of documents keeps one entry per hash (the smallest doc_id in the chunk), so
    a passage held by a third of all rows is sent once per chunk. Entries travel as packed blobs, one per
-   hash range.
+   hash range; each holds the doc_ids of its own entries, so the output does not grow with the number of ranges.
 2. Reduce: each hash range finds the smallest doc_id of every hash; the other holders' hashes go out in packs,
    one for each group of documents.
 3. Each group of documents meets its packs, and repeated windows are merged into maximal spans.
@@ -29,7 +29,7 @@ RANGE_BYTES = 16 << 20
 PACK_BYTES = 3 << 20
 CHUNK_BYTES = 6 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOB = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("holders", pa.binary()), ("docs", pa.binary())])
+_BLOB = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,6 +67,17 @@ def unplanes(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(blob, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0]
 
 
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of bigints."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = (p5 + np.uint64(42 + 8)) ^ (turn(x.view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def _by_doc(doc: np.ndarray, h: np.ndarray):
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -97,12 +108,12 @@ def _mapper(window: int, buckets: int):
                     out[k].append(v)
 
             for d, blob in _by_doc(ids[row[later]], h[later]):
-                put(hash(d) % buckets, d, blob, None, None)
+                put(hash(d) % buckets, d, blob, None)
             h = h[start]
             edges = np.searchsorted(h, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64))
             for b, (lo, hi) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(h)], strict=True)):
                 if hi > lo:
-                    put(b, None, planes(h[lo:hi]), planes(low[lo:hi]), ids.tobytes())
+                    put(b, None, planes(h[lo:hi]), planes(ids[low[lo:hi]]))
             yield pa.RecordBatch.from_pydict(out, schema=_BLOB)
 
     return run
@@ -113,13 +124,13 @@ def _reducer(packs: int):
         """One hash range: the hashes that documents must give up, packed by document group. Rows that carry a doc_id pass."""
         doc, hs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         held, of = [], []
-        for _, d, h, holders, docs in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        for _, d, h, docs in zip(*(c.to_pylist() for c in table.columns), strict=True):
             if d is not None:
                 hs.append(np.frombuffer(h, np.uint64))
                 doc.append(np.full(len(hs[-1]), d))
             else:
                 held.append(unplanes(h, np.uint64))
-                of.append(np.frombuffer(docs, np.int64)[unplanes(holders, np.uint32)])
+                of.append(unplanes(docs, np.int64))
         if held:
             h, d = np.concatenate(held), np.concatenate(of)
             order = np.argsort(h)
@@ -129,7 +140,7 @@ def _reducer(packs: int):
             doc.append(d[d > low])
             hs.append(h[d > low])
         d, h = np.concatenate(doc), np.concatenate(hs)
-        pack = (d % packs).astype(np.int32)
+        pack = (spark_hash(d) % packs).astype(np.int32)
         order = np.lexsort((d, pack))
         pack, d, h = pack[order], d[order], h[order]
         cut = np.flatnonzero(np.diff(pack)) + 1
@@ -184,9 +195,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     packs = max(buckets, -(-size // PACK_BYTES))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    blobs = rows.mapInArrow(_mapper(window, buckets), "bucket int, doc_id bigint, hashes binary, holders binary, docs binary")
+    blobs = rows.mapInArrow(_mapper(window, buckets), "bucket int, doc_id bigint, hashes binary, docs binary")
     found = blobs.groupBy("bucket").applyInArrow(_reducer(packs), "pack int, docs binary, hashes binary")
-    spread = F.coalesce(F.pmod("doc_id", F.lit(packs)), F.pmod(F.hash("text"), F.lit(packs))).cast("int")
+    spread = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(packs))).otherwise(F.pmod(F.xxhash64("text"), F.lit(packs))).cast("int")
     return rows.withColumn("pack", spread).groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(
         _finisher(window), "doc_id bigint, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string"
     )
