@@ -77,16 +77,72 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, start: Column, step) -> Column:
+    """Running folds of an array, each element's own included, in blocks of its root so that little is copied.
+
+    ``step(a, b)`` must be associative with ``start`` neutral.
+    """
+    def fold(block, first):
+        begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, begin, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+    def blocks(v, size):
+        n = F.ceil(F.size(v) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(v, i * size + 1, size))
+
+    def all_(v):
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return _let(blocks(v, size), lambda parts: _let(fold(F.transform(parts, lambda p: F.aggregate(p, start, step)), start), lambda ends: F.flatten(
+            F.transform(parts, lambda p, i: fold(p, F.when(i == 0, start).otherwise(F.get(ends, i - 1)))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, all_(v)).otherwise(F.array().cast("array<int>")))
+
+
+_LOCATED = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+
+
 def _located(found: Column, pieces: Column) -> Column:
-    """array<struct<start,end,s>> from the matches and the pieces around them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("spans"))
+    """Spans from the matches and the pieces around them, each with up to ``CONTEXT_CHARS`` before it and one character after.
+
+    The text before a span reaches back over one match at most.
+    """
+    none = F.array().cast(_LOCATED)
+
+    def spans(m, p, ends):
+        def one(i):
+            s, end = F.get(m, i), F.get(ends, i)
+            tail = lambda c: F.coalesce(F.when(i > 0, F.right(c, F.lit(CONTEXT_CHARS))), F.lit(""))
+            before = F.concat(tail(F.get(p, i - 1)), tail(F.get(m, i - 1)), F.right(F.get(p, i), F.lit(CONTEXT_CHARS)))
+            after = F.concat(F.left(F.get(p, i + 1), F.lit(1)), F.coalesce(F.left(F.get(m, i + 1), F.lit(1)), F.lit("")))
+            return F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("s"), F.right(before, F.lit(CONTEXT_CHARS)).alias("before"), F.left(after, F.lit(1)).alias("after"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(m) - 1), one)
+
+    def placed(m):
+        def in_pieces(p):
+            sizes = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(p, i)))
+            return _let(running(sizes, F.lit(0), lambda a, x: a + x), lambda ends: spans(m, p, ends))
+
+        return F.when(F.size(m) > 0, _let(pieces, in_pieces)).otherwise(none)
+
+    return F.coalesce(_let(found, placed), none)
+
 
-    def step(acc, i):
-        lo = acc["at"] + F.length(F.get(pieces, i))
-        hi = lo + F.length(F.get(found, i))
-        return F.struct(hi.alias("at"), F.concat(acc["spans"], F.array(F.struct(lo.alias("start"), hi.alias("end"), F.get(found, i).alias("s")))).alias("spans"))
+def _apart(loose: Column, base: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``base``; one sort and two running folds, not all pairs."""
+    def kept(all_):
+        ends = running(F.transform(all_, lambda x: F.when(x["base"], x["end"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        starts = running(F.transform(F.reverse(all_), lambda x: F.when(x["base"], x["start"]).otherwise(2**31 - 1)), F.lit(2**31 - 1), lambda a, x: F.least(a, x))
+        return _let(ends, lambda e: _let(starts, lambda s: F.filter(all_, lambda x, i: ~x["base"] & (F.get(e, i) <= x["start"]) & (F.get(s, F.size(all_) - 1 - i) >= x["end"]))))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["spans"])).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+    # A base span that begins where a candidate does comes first.
+    order = lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["base"] == y["base"], 0).when(x["base"], -1).otherwise(1)
+    return F.when(F.size(loose) == 0, loose).otherwise(_let(F.array_sort(F.concat(loose, base), order), kept))
 
 
 def _kind(s: Column) -> Column:
@@ -120,18 +176,15 @@ def find_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = df.withColumns({f"__s_{k}": _located(F.col(f"__m_{k}"), F.split("__t", pattern[k], -1)) for k in pattern})
 
     def full(x, kind, base):
-        before = F.substring(F.col("__t"), F.greatest(F.lit(1), x["start"] + 1 - CONTEXT_CHARS), F.least(F.lit(CONTEXT_CHARS), x["start"]))
-        after = F.substring(F.col("__t"), x["end"] + 1, F.lit(1))
-        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), _votes(kind, base, x["s"], before, after).alias("votes"))
+        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), _votes(kind, base, x["s"], x["before"], x["after"]).alias("votes"))
 
     def valid(k):
         return F.transform(F.filter(f"__s_{k}", lambda x: _valid(k, x["s"])), lambda x: full(x, F.lit(k), F.lit(True)))
 
     strict = [valid(k) for k in KINDS]
     loose = F.transform("__s_loose", lambda x: full(x, _kind(x["s"]), F.lit(False)))
-    return df.select(*keep, F.concat(*strict).alias("__base"), loose.alias("__loose")).select(
-        *keep, F.concat("__base", F.filter("__loose", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))).alias("spans")
-    )
+    spans = _let(F.concat(*strict), lambda base: F.concat(base, _apart(loose, base)))
+    return df.select(*keep, spans.alias("spans"))
 
 
 def vote_counts(spans: DataFrame) -> list[tuple[str, tuple[int, ...], int]]:
