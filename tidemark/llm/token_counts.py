@@ -2,8 +2,7 @@
 
 Content is normalised (runs of ASCII white space become one space, ends trimmed; null is empty), which
 leaves the counts of tokenizers that drop white space as they are. The SHA-256 of the content with the
-tokenizer's version digest is joined to stored counts; one document for each distinct miss is encoded and
-its count is appended to the cache, a Parquet table in a folder that all executors share.
+tokenizer's version digest is joined to stored counts; one row for each distinct miss is encoded and its count is appended to the cache, a Parquet table in a folder that all executors share.
 
 While encoding, a worker remembers the count of each piece between white space: the tokenizer never
 merges over white space, so the counts add up.
@@ -90,11 +89,11 @@ def count_tokens(docs: DataFrame, definition: str, cache_path: str | None = None
     ).withColumn("digest", F.unhex(F.sha2("content", 256)))
     stored = read_cache(spark, path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     seen = materialize(rows.select("doc_id", "n_bytes", "digest"), "digests")
-    misses = seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    named = rows.join(misses.select(F.col("doc_id"), F.col("digest").alias("wanted")).where("doc_id is not null"), "doc_id").where("digest = wanted")
-    unnamed = rows.where("doc_id is null").join(misses.where("doc_id is null").select("digest"), "digest", "left_semi")
-    todo = named.select("digest", "content").unionByName(unnamed.select("digest", "content"))
-    fresh = todo.mapInArrow(_encoder(definition), "digest binary, n_tokens bigint").distinct()
+    key = F.coalesce("doc_id", F.lit(0)).alias("key")  # any one will do: equal digests are equal contents
+    misses = seen.groupBy("digest").agg(F.min(key).alias("key")).join(stored, "digest", "left_anti")
+    # Rows that repeat meet in each task before they travel, so a hot row is sent once by each.
+    todo = rows.groupBy(key, "digest").agg(F.first("content").alias("content")).join(misses, ["key", "digest"], "left_semi")
+    fresh = todo.select("digest", "content").mapInArrow(_encoder(definition), "digest binary, n_tokens bigint")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(path)
     counts = read_cache(spark, path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # written, so that both sides of the join are plain exchanges and a hot digest's rows can be split
