@@ -24,12 +24,22 @@ BLOCK_ROWS = 2048
 MAX_REPEATS = 4.0
 SEED = "mix"
 STEPS = 5
+#: Parts of the rows that share a doc_id or have none, by the digest of their text, so that they don't meet in one task.
+SALTS = 4096
 
 
 def _hash(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(SEED), *parts))
 
 
+def _name(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
+def _salt(digest: str) -> Column:
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("bigint")
+
+
 def source_shares(rows: DataFrame) -> DataFrame:
     """``source, tokens, docs, ln_p`` of every source with tokens; a null source is a source named ''."""
     per = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0")
@@ -74,13 +84,14 @@ def mixing_plan(docs: DataFrame, entropy: float | None = ENTROPY, max_repeats: f
     ``position`` orders a source's rows within an epoch, from 1. ``budget``: tokens of the mixture (default: those
     of the input). Tokens are words. Documents without words have weight 0 and are never used; a null source
     counts as ''. With both ``entropy`` and ``max_repeats``, the exponent is the larger of the two answers, so no
-    source repeats beyond the limit. ``copy`` numbers the
-    rows that share a doc_id (or have none) by the digest of their text; repeated rows are used like different rows.
+    source repeats beyond the limit. ``copy`` tells
+    rows that share a doc_id (or have none) apart, by the digest of their text; repeated rows are used like different rows.
+    ``budget`` 0: no rows.
     """
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), words.cast("bigint").alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    copy = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).orderBy("digest"))
-    rows = materialize(rows.withColumn("copy", copy).where("tokens > 0"), "tokens")
+    copy = F.row_number().over(Window.partitionBy(_name(F.col("doc_id")), _salt("digest")).orderBy("digest"))
+    rows = materialize(rows.withColumn("copy", (copy.cast("bigint") - 1) * SALTS + _salt("digest")).where("tokens > 0"), "tokens")
     shares = source_shares(rows)
     if not shares.head(1):
         return rows.select("doc_id", "copy", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("position"))
@@ -88,7 +99,7 @@ def mixing_plan(docs: DataFrame, entropy: float | None = ENTROPY, max_repeats: f
     answers += [bisect_exponent(shares, None, max_repeats)] if max_repeats is not None else []
     t = max(answers)
     z = shares.agg(F.sum(F.exp(F.lit(t) * F.col("ln_p"))).alias("z"), F.sum("tokens").alias("total")).first()
-    goal = F.round(F.exp(F.lit(t) * F.col("ln_p")) / F.lit(z["z"]) * F.lit(float(budget or z["total"]))).cast("bigint")
+    goal = F.round(F.exp(F.lit(t) * F.col("ln_p")) / F.lit(z["z"]) * F.lit(float(z["total"] if budget is None else budget))).cast("bigint")
     plan = shares.select("source", "docs", goal.alias("goal"), (goal / F.col("tokens")).cast("bigint").alias("full"), (goal % F.col("tokens")).alias("rest"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_ROWS)).cast("bigint")
     key = _hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
@@ -109,10 +120,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id, or have none, are numbered by the digest of their text and matched by number.
     """
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    numbered = docs.withColumn("__k", name(F.col("doc_id"))).withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
-    numbered = numbered.withColumn("__copy", F.row_number().over(Window.partitionBy("__k").orderBy("__digest")))
-    plan = mixing_plan(docs, **options).withColumn("__k", name(F.col("doc_id"))).groupBy("__k", "copy").agg(F.count("*").alias("uses"))
-    uses = plan.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("copy", "uses"))).alias("__uses"))
-    out = numbered.join(uses, "__k").withColumn("__n", F.try_element_at("__uses", F.col("__copy"))).where("__n > 0")
+    numbered = docs.withColumn("__k", _name(F.col("doc_id"))).withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
+    numbered = numbered.withColumn("__salt", _salt("__digest"))
+    copy = F.row_number().over(Window.partitionBy("__k", "__salt").orderBy("__digest"))
+    numbered = numbered.withColumn("__copy", (copy.cast("bigint") - 1) * SALTS + F.col("__salt"))
+    plan = mixing_plan(docs, **options).withColumn("__k", _name(F.col("doc_id"))).groupBy("__k", "copy").agg(F.count("*").alias("uses"))
+    uses = plan.groupBy("__k", (F.col("copy") % SALTS).alias("__salt")).agg(F.map_from_entries(F.collect_list(F.struct("copy", "uses"))).alias("__uses"))
+    out = numbered.join(uses, ["__k", "__salt"]).withColumn("__n", F.try_element_at("__uses", F.col("__copy"))).where("__n > 0")
     return out.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).select(docs.columns)
