@@ -1,6 +1,6 @@
 """SimHash near-dedup: fingerprints linked through a sharded vantage-point tree.
 
-A tree fitted on a bounded sample of distinct fingerprints routes every distinct fingerprint to one leaf
+A tree fitted on a sample of distinct fingerprints, as large as its leaves need, routes every distinct fingerprint to one leaf
 by its Hamming distances to the vantage points. Where the triangle inequality lets a pair straddle a
 boundary, the inner fingerprint is also sent across as a query. Each leaf is searched exactly by a local
 tree with the same pruning and returns a spanning forest of its links, so output stays linear even in
@@ -19,9 +19,10 @@ from .common import materialize, resolve_components, small_batches
 
 SHINGLE = 3
 MAX_BITS = 2
-#: Fingerprints the top tree is fitted on, and distinct fingerprints aimed at for each leaf.
-SAMPLE = 8192
+#: Distinct fingerprints aimed at for each leaf, sampled fingerprints for each, and the most of them (8 MB on the driver).
 LEAF = 4096
+SAMPLED = 8
+MOST_SAMPLED = 1 << 20
 SEED = 42
 
 
@@ -176,9 +177,9 @@ def _leaf(bits: int):
 
 def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """``node, root`` for each distinct fingerprint (column ``fp``) that links to another one."""
-    small = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE)
-    sample = np.array([r[0] for r in small.collect()], np.int64).view(np.uint64)
-    leaves = min(-(-distinct.count() // leaf), max(1, len(sample) // 8))
+    leaves = max(1, min(-(-distinct.count() // leaf), MOST_SAMPLED // SAMPLED))
+    small = distinct.orderBy(F.xxhash64("fp")).limit(max(1024, SAMPLED * leaves))
+    sample = np.sort(small.toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64))
     routed = distinct.mapInArrow(_router(grow(sample, leaves), bits), "leaf int, fp bigint, query boolean")
     return resolve_components(routed.groupBy("leaf").applyInArrow(_leaf(bits), "a bigint, b bigint"))
 
