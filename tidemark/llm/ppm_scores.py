@@ -230,6 +230,18 @@ def paths(ends: np.ndarray, shard: int, order: int) -> list[np.ndarray]:
     return [np.unique(near >> np.uint64(8 * (order - k))) for k in range(order)]
 
 
+def _needs(order: int, buckets: int, ends: np.ndarray):
+    """The contexts that each shard needs from others."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(buckets + s, k, int(c)) for s in b.column(0).to_pylist() for k, ctx in enumerate(paths(ends, s, order)) for c in ctx]
+            cols = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["bucket", "k", "ctx"])
+
+    return run
+
+
 _REC = "chunk bigint, bucket bigint, doc_id array<bigint>, held array<boolean>, a binary, b binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -370,8 +382,8 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     crossing = pairs.groupBy("bucket").applyInArrow(_crossing(order, buckets, ends), "k int, key bigint, n bigint")
     crossing = crossing.groupBy("k", "key").agg(F.sum("n").alias("n"))
     crossing = crossing.groupBy("k", F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.collect_list(F.struct(F.col("key").bitwiseAND(255).alias("sym"), "n")).alias("p"))  # at most 256
-    need = [(buckets + b, k, int(c)) for b in range(len(ends) + 1) for k, ctx in enumerate(paths(ends, b, order)) for c in ctx]
-    crossing = spark.createDataFrame(need, "bucket bigint, k int, ctx bigint").join(crossing, ["k", "ctx"])
+    need = spark.range(len(ends) + 1).mapInArrow(_needs(order, buckets, ends), "bucket bigint, k int, ctx bigint")
+    crossing = need.join(crossing, ["k", "ctx"])
     crossing = crossing.select("bucket", "k", "ctx", F.col("p.sym").alias("sym"), F.col("p.n").alias("n"))
     scores = pairs.groupBy("bucket").cogroup(crossing.groupBy("bucket")).applyInArrow(_shard_reply(order, buckets, ends), "chunk bigint, bucket bigint, c binary")
     replies = words.select("chunk", "bucket", "c").unionByName(scores)
