@@ -67,6 +67,26 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.dedup_substrings(empty).collect() == []
 
 
+def test_window_entries_do_not_grow_with_the_ranges():
+    """What a chunk sends follows its windows, whatever the number of hash ranges; ids stay those of the entries."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(7 * i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) + str(rng.randrange(99)) for _ in range(300)).encode()) for i in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "text"])
+    sent = {}
+    for ranges in (32, 6000):
+        out = pa.Table.from_batches(list(substring_dedup._mapper(13, ranges)([batch])))
+        sent[ranges] = sum(len(x) for c in ("hashes", "docs") for x in out.column(c).to_pylist() if x)
+    assert sent[6000] == sent[32] == 16 * 800 * 288
+
+
+def test_ids_are_dealt_as_spark_does(spark):
+    ids = [0, 1, -1, 42, 2**62, -(2**63), 10**12]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x bigint").select(F.xxhash64("x")).collect()]
+    assert substring_dedup.spark_hash(np.array(ids, np.int64)).tolist() == got
+
+
 def test_ppm_scores(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     got = {}
@@ -321,6 +341,27 @@ def test_near_groups_of_unequal_fingerprints(spark):
     assert {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(prints).collect()} == roots
 
 
+def test_near_groups_find_edited_texts(spark):
+    """Texts whose edit similarity is high are grouped, unrelated ones are not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    rows, family = [], {}
+    for f in range(40):
+        base = [word() for _ in range(150)]
+        for _ in range(3):
+            w = list(base)
+            for at in rng.sample(range(150), rng.randrange(0, 2)):
+                w[at] = word()
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(edit_fingerprints.fingerprint(docs)).collect()}
+    assert all(family[g] == family[i] for i, g in got.items())
+    prints = {r.doc_id: bytes.fromhex(r.fingerprint) for r in edit_fingerprints.fingerprint(docs).collect()}
+    near = [(a, b) for a in prints for b in prints if a < b and sum(x == y for x, y in zip(prints[a], prints[b], strict=True)) >= 0.8 * 128]
+    assert near and all(got[a] == got[b] for a, b in near)
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(5)
     item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(40))
@@ -469,6 +510,31 @@ def test_pii(spark, docs, empty):
     assert pii_spans.detect_pii(empty).collect() == []
 
 
+def test_pii_added_spans(spark):
+    """Spans that no base pattern has: spelled-out mail, plain phone numbers, 15-digit cards and long addresses."""
+    rows = [(1, "write to jane [at] site [dot] org now"), (2, "call 555-123-4567 now"), (3, "card 378282246310005 paid"), (4, "host 2001:db8:0:1:2:3:4:5 up"), (5, "a@b.com (555) 123-4567"), (6, "+1 (555) 123-4567"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"spans": F.lit(1), "kind": F.lit("x"), "start": F.lit(3)})
+    got = {r.doc_id: r.s for r in pii_spans.detect_pii(docs.unionByName(docs)).select("doc_id", pii_spans.joined(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "email:9:33", 2: "phone:5:17", 3: "card:5:20", 4: "ip:5:25", 5: "email:0:7,phone:8:22", 6: "phone:0:17", 7: "", 8: ""}
+
+
+def test_pii_in_long_texts(spark):
+    """Time follows the length: a megabyte of addresses, and runs that nearly match."""
+    rows = [(1, "10.1.2.3, " * 100_000), (2, "1." * 100_000), (3, "call 555 123 4567 or " * 5_000)]
+    got = {r.doc_id: r.spans for r in pii_spans.detect_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [len(got[i]) for i in (1, 2, 3)] == [100_000, 25_000, 5_000]
+    assert [(x.start, x.end) for x in got[1][-2:]] == [(999_980, 999_988), (999_990, 999_998)]
+    assert (got[2][-1].start, got[2][-1].end) == (199_992, 199_999) and (got[3][-1].start, got[3][-1].end) == (104_984, 104_996)
+
+
+def test_running_folds(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(-50, 50) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 3, 10, 99, 100, 101, 1000))]
+    df = spark.createDataFrame(rows, "i int, v array<int>").select("i", "v", pii_spans.running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("sum"), pii_spans.running(F.col("v"), F.lit(-99), lambda a, x: F.greatest(a, x)).alias("max"))
+    for r in df.collect():
+        assert r["sum"] == np.cumsum(r.v).tolist() and r["max"] == np.maximum.accumulate(np.array(r.v, int)).tolist()
+
+
 def test_em_trusts_agreeing_labelers():
     counts = [("phone", (1, 1, 1, 1, 1), 50), ("phone", (2, 0, 0, 2, 0), 50), ("phone", (2, 1, 2, 1, 1), 5)]
     post = pii_spans.estimate(counts)
