@@ -28,13 +28,15 @@ STAGES = ((8, 4), (16, 8), (20, 10), (24, 11))
 REPETITIONS = ((30, 3, 2), (20, 3, 4), (15, 2, 4), (0, 1, 6))
 #: A walk goes on for so many steps after its window, one bit each; windows of items of ``LONG_WORDS`` words or more align only if
 #: this share of the bits inside the item, and so of the steps in Hamming distance, agrees.
-FURTHER, AGREE, LEAST_BITS, LONG_WORDS = 64, 0.72, 24, 15
+FURTHER, AGREE, LEAST_BITS, LONG_WORDS = 64, 0.74, 24, 15
 #: Items under so many words or bytes are found only whole, as words in a row: they have no room for edits and windows.
 MIN_WORDS, MIN_BYTES = 5, 20
 BITMAP_BITS = 22
 CHUNK_BYTES = 256 << 10
 #: Items of one document that travel in one row, and places verified at a time.
 ITEMS, PLACES = 256, 2048
+#: Places so near count as one.
+NEAR = 8
 WHOLE = 100  # level of items of n words found whole: WHOLE + n
 
 
@@ -100,13 +102,13 @@ class Walker:
     def further(self, flat: np.ndarray, pos: np.ndarray, rep: int, stage: int) -> tuple[np.ndarray, np.ndarray]:
         """Bits of the next steps of walks, and a mask of the steps that are inside the text."""
         move, _, bit = self.reps[rep]
-        pos, bits, inside = pos.copy(), np.zeros(len(pos), np.uint64), np.zeros(len(pos), np.uint64)
+        pos, seen, bits = pos.copy(), np.empty((FURTHER, len(pos)), np.uint8), np.empty((FURTHER, len(pos)), np.uint8)
         for j in range(FURTHER):
-            c = flat.take(pos)
-            bits |= bit[j].take(c).astype(np.uint64) << np.uint64(j)
-            inside |= (c != PAD).astype(np.uint64) << np.uint64(j)
-            pos += move[STAGES[stage][0] + j].take(c)
-        return bits, inside
+            flat.take(pos, out=seen[j], mode="clip")
+            bit[j].take(seen[j], out=bits[j], mode="clip")
+            pos += move[STAGES[stage][0] + j].take(seen[j])
+        packed = lambda x: np.ascontiguousarray(np.packbits(x, axis=0, bitorder="little").T).view(np.uint64)[:, 0]
+        return packed(bits), packed(seen != PAD)
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -209,26 +211,39 @@ def substring_distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     pv, mv = real[:, of].copy(), np.zeros((words, len(pairs)), np.uint64)
     score = np.fromiter((len(p) for p, _ in pairs), np.int64, len(pairs))
     best, top = score.copy(), np.uint64(63)
+    one = np.uint64(1)
     for c in codes:
-        carry = up = down = np.uint64(0)
+        carry = up = down = None
         for w in range(words):
             eq = match[w].take(c)
             p, m = pv[w], mv[w]
-            half = eq & p
-            total = half + p
-            over = total < p
+            xh = eq & p
+            xh += p
+            over = xh < p
             if w:
-                total = total + carry
-                over |= total < carry
-            carry = over.astype(np.uint64)
-            xh = (total ^ p) | eq
-            ph, mh, xv = m | ~(xh | p), p & xh, eq | m
+                xh += carry
+                over |= xh < carry
+            if w + 1 < words:
+                carry = over.astype(np.uint64)
+            xh ^= p
+            xh |= eq
+            eq |= m
+            mh = p & xh
+            ph = ~(xh | p)
+            ph |= m
             pt, mt = ph >> top, mh >> top
-            ph, mh = (ph << np.uint64(1)) | up, (mh << np.uint64(1)) | down
+            ph <<= one
+            mh <<= one
+            if w:
+                ph |= up
+                mh |= down
             up, down = pt, mt
-            pv[w] = mh | ~(xv | ph)
-            mv[w] = ph & xv
-        score += up.astype(np.int64) - down.astype(np.int64)
+            np.bitwise_and(ph, eq, out=m)
+            ph |= eq
+            np.invert(ph, out=ph)
+            np.bitwise_or(mh, ph, out=p)
+        score += up.view(np.int64)
+        score -= down.view(np.int64)
         np.minimum(best, score, out=best)
     return best
 
@@ -253,7 +268,7 @@ def _regions(item: bytes, own: bytes, places: list[int], most: int, wide: int):
     slack = most * wide  # bytes by which the edits before the window can move its start, and those after it its end
     held = None
     for place in sorted(places):
-        lo, hi = max(0, place - slack), place + 32 + len(item) + slack
+        lo, hi = max(0, place - slack), place + NEAR + len(item) + slack
         if held and lo <= held[0] + 64:
             held = held[0], hi
             continue
@@ -325,7 +340,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     keyed = windows.where("ends").select("level", "hash", "item_id", "offset", "bits", "mask").distinct()
     unlike = F.bit_count(F.col("further").bitwiseXOR(F.col("bits")).bitwiseAND(F.col("mask")))
     whole = F.col("level") > WHOLE
-    place = F.when(whole, -1).otherwise(F.floor((F.col("place") - F.col("offset")) / 32) * 32).cast("int")
+    place = F.when(whole, -1).otherwise(F.floor((F.col("place") - F.col("offset")) / NEAR) * NEAR).cast("int")
     places = hits.join(keyed, ["level", "hash"]).where(unlike <= (1 - AGREE) * F.bit_count("mask")).select("doc_id", "item_id", whole.alias("whole"), place.alias("place"))
     found = materialize(places.groupBy("doc_id", "item_id", "whole").agg(F.collect_set("place").alias("places")), "aligned")
     # A document of many items is read in several rows, so that none holds a list without bound.
