@@ -56,6 +56,26 @@ def pieces(b: Column, size: int = PIECE_BYTES) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(b, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<binary>"))
 
 
+def put_together(cut, key: Column):
+    """``key, n_pieces, b`` of values cut into ``i, piece``."""
+    return cut.groupBy(key).agg(F.count("*").cast("int").alias("n_pieces"), F.expr("listagg(piece) within group (order by i)").alias("b"))
+
+
+def child_pointer(page: Column, version: Column) -> Column:
+    """[63:32] version, cut to 32 bits, [31:0] page."""
+    low = F.lit(0xFFFFFFFF)
+    return F.shiftleft(version.cast("bigint").bitwiseAND(low), 32).bitwiseOR(page.cast("bigint").bitwiseAND(low))
+
+
+def child_parts(p: Column) -> tuple[Column, Column]:
+    """Page and version."""
+    return p.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(p, 32)
+
+
+def valid_page(page: Column) -> Column:
+    return page != F.lit(0xFFFFFFFF)
+
+
 def chunk_position(chunk: Column, offset: Column, kind: Column) -> Column:
     """[63:38] chunk, [37:6] offset, [5:1] kind, [0] zero."""
     return F.shiftleft(chunk.cast("bigint"), 38).bitwiseOR(F.shiftleft(offset.cast("bigint"), 6)).bitwiseOR(F.shiftleft(kind.cast("bigint"), 1))

@@ -53,14 +53,21 @@ def fixed_histogram(samples: DataFrame, value: str, low: float, high: float, buc
     return h.withColumns(pick).select("bucket", "n", "cum", *pick)
 
 
+def _answers(outcomes: DataFrame) -> DataFrame:
+    """A row for each task and moment: the task's ``total``, and the good answers ``upto`` then. Answers are counted by moment first."""
+    h = outcomes.groupBy("task_id", "at").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
+    w = Window.partitionBy("task_id")
+    upto = F.sum("good").over(w.orderBy(F.asc_nulls_last("at")).rowsBetween(Window.unboundedPreceding, 0))
+    return h.select("task_id", "at", upto.alias("upto"), F.sum("n").over(w).alias("total"))
+
+
 def quorum(outcomes: DataFrame) -> DataFrame:
     """Per task of ``task_id, ok, at``: counts, success rate, strategies, the first answer and the moment of majority."""
-    times = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("at"))))
-    out = outcomes.groupBy("task_id").agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), F.min("at").alias("first_at"), times.alias("t"))
     need = F.expr("total div 2") + 1
+    out = _answers(outcomes).groupBy("task_id").agg(F.max("total").alias("total"), F.max("upto").alias("success"), F.min("at").alias("first_at"), F.min(F.when(F.col("upto") >= need, F.col("at"))).alias("majority_at"))
     return out.select(
         "task_id", "total", "success", (F.col("total") - F.col("success")).alias("failed"), ratio(F.col("success"), F.col("total")).alias("success_rate"),
-        (F.col("success") >= need).alias("majority_ok"), (F.col("success") == F.col("total")).alias("all_ok"), "first_at", F.get("t", (need - 1).cast("int")).alias("majority_at"),
+        (F.col("success") >= need).alias("majority_ok"), (F.col("success") == F.col("total")).alias("all_ok"), "first_at", "majority_at",
     )
 
 
@@ -81,6 +88,5 @@ def strategies(outcomes: DataFrame) -> DataFrame:
 
 def quorum_of(outcomes: DataFrame, k: int) -> DataFrame:
     """Per task of ``task_id, ok, at``: whether ``k`` peers answered, and when the k-th did."""
-    times = F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("at"))))
-    out = outcomes.groupBy("task_id").agg(F.count("*").alias("total"), F.count_if("ok").alias("success"), times.alias("t"))
-    return out.select("task_id", "total", "success", (F.col("success") >= k).alias("reached"), F.get("t", F.lit(k - 1)).alias("reached_at"))
+    out = _answers(outcomes).groupBy("task_id").agg(F.max("total").alias("total"), F.max("upto").alias("success"), F.min(F.when(F.col("upto") >= k, F.col("at"))).alias("reached_at"))
+    return out.select("task_id", "total", "success", (F.col("success") >= k).alias("reached"), "reached_at")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def newest(log: DataFrame, *by: str) -> DataFrame:
     """The newest version of each key, tombstones included."""
     by = by or ("key",)
-    return log.groupBy(*by).agg(F.max_by(F.struct("value", "is_deleted"), "ts").alias("v"), F.max("ts").alias("ts")).select(*by, "v.value", "ts", "v.is_deleted")
+    # Primitive fields, one by one: a struct would force a sort aggregate.
+    return log.groupBy(*by).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"), F.max_by("is_deleted", "ts").alias("is_deleted"))
 
 
 def live(log: DataFrame) -> DataFrame:

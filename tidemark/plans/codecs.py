@@ -75,9 +75,61 @@ def lob_tiers(spark, sf_dir):
 def lob_chunks(spark, sf_dir):
     """Large values cut into page-sized pieces and put together again."""
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(codec.pieces(F.col("text").cast("binary"))).alias("i", "piece"))
-    whole = cut.groupBy(F.col("doc_id").alias("lob_id")).agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
-    return whole.select("lob_id", F.size("p").alias("n_pieces"), joined.alias("b")).select("lob_id", "n_pieces", F.octet_length("b").cast("bigint").alias("n_bytes"), F.md5("b").alias("digest"))
+    whole = codec.put_together(cut, F.col("doc_id").alias("lob_id"))
+    return whole.select("lob_id", "n_pieces", F.octet_length("b").cast("bigint").alias("n_bytes"), F.md5("b").alias("digest"))
+
+
+@query("""SELECT c_custkey AS key, CASE WHEN strlen(text) > 16384 THEN 'file' WHEN strlen(text) > 2048 THEN 'overflow' WHEN text IS NOT NULL THEN 'inline' END AS tier,
+ CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM customer LEFT JOIN documents ON doc_id = c_custkey""")
+def lob_lookup(spark, sf_dir):
+    """Batch get of values of any size: small ones lie in the row, large ones are joined by reference and put together."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("value"))
+    stored = docs.withColumn("tier", codec.tier(F.octet_length("value"), 2048, 16384))
+    rows = stored.select("key", "tier", F.when(F.col("tier") == "inline", F.col("value")).alias("value"))
+    side = stored.where("tier <> 'inline'").select(F.col("key").alias("lob_id"), F.posexplode(codec.pieces(F.col("value"))).alias("i", "piece"))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    got = keys.join(rows, "key", "left")
+    wanted = side.join(got.where("tier <> 'inline'").select(F.col("key").alias("lob_id")).distinct(), "lob_id", "left_semi")
+    whole = codec.put_together(wanted, F.col("lob_id")).select(F.col("lob_id").alias("key"), "b")
+    out = got.join(whole, "key", "left").select("key", "tier", F.coalesce("value", "b").alias("b"))
+    return out.select("key", "tier", F.octet_length("b").cast("bigint").alias("n_bytes"), F.md5("b").alias("digest"))
+
+
+@query("SELECT event_id, (user_id << 32) | event_id AS encoded, event_id AS page, user_id AS version, event_id <> 4294967295 AS valid, event_id % 2 = 0 AS leaf FROM events")
+def child_pointer(spark, sf_dir):
+    """Page id and version packed in one number, and read back; a reference holds the page and whether it is a leaf."""
+    e = table(spark, sf_dir, "events").select("event_id", codec.child_pointer(F.col("event_id"), F.col("user_id")).alias("encoded"), (F.col("event_id") % 2 == 0).alias("leaf"))
+    page, version = codec.child_parts(F.col("encoded"))
+    return e.select("event_id", "encoded", page.alias("page"), version.alias("version"), codec.valid_page(page).alias("valid"), "leaf")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 1024 THEN 'none' ELSE 'zstd' END AS compression, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def payload_compression(spark, sf_dir):
+    """Payloads over 1 KB are sent compressed and named so; back, none may grow over the limit."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("payload"))
+    back = binary.decompress(binary.compress(docs))
+    return back.select(F.col("id").alias("doc_id"), "compression", F.octet_length("payload").cast("bigint").alias("n_bytes"), F.md5("payload").alias("digest"))
+
+
+@query("SELECT event_id AS page, event_id % 7 <> 3 AS valid FROM events WHERE props IS NOT NULL AND props <> ''")
+def page_checksums(spark, sf_dir):
+    """Pages behind their checksum; one flipped byte is found."""
+    e = table(spark, sf_dir, "events").where("props is not null and props <> ''").select(F.col("event_id").alias("page"), F.col("props").cast("binary").alias("data"))
+    stored = binary.seal_pages(e)
+    flipped = F.concat(F.substring("sealed", 1, 4), F.unhex(F.lit("00")), F.expr("substring(sealed, 6)"))
+    return binary.check_pages(stored.select("page", F.when(F.col("page") % 7 == 3, flipped).otherwise(F.col("sealed")).alias("sealed")))
+
+
+@query("SELECT event_id AS lsn, event_id // 10 AS tx_id, user_id AS key, md5(props) AS digest FROM events WHERE event_id % 13 <> 5")
+def wal_recovery(spark, sf_dir):
+    """Log segments with broken entries: a scan goes on at the next whole entry, eight bytes at a time."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), F.expr("event_id div 10").alias("tx_id"), F.lit(0).alias("kind"), F.col("user_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"))
+    framed = binary.encode_entries(e, keep_lsn=True)
+    broken = F.concat(F.expr("substring(frame, 1, 27)"), F.unhex(F.lit("FF")), F.expr("substring(frame, 29)"))
+    framed = framed.select("lsn", F.when(F.col("lsn") % 13 == 5, broken).otherwise(F.col("frame")).alias("frame"))
+    segments = framed.groupBy(F.expr("lsn div 200").alias("segment")).agg(F.expr("listagg(frame) within group (order by lsn)").alias("data"))
+    got = binary.scan_segments(segments.select("data"))
+    return got.select("lsn", "tx_id", F.col("key").cast("string").cast("bigint").alias("key"), F.md5("value").alias("digest"))
 
 
 @query("""SELECT event_id, 'node-' || user_id || '-' || lpad(lower(hex(1704067200 + event_id)), 8, '0') || '-' || lpad(lower(hex(event_id % 65536)), 4, '0') AS request_id,
@@ -151,7 +203,7 @@ def stream_upsert(spark, sf_dir):
     return ingest.replayed_upsert(spark, sf_dir)
 
 
-@query("""WITH r AS (SELECT l_orderkey AS task_id, l_linestatus = 'F' AS ok FROM lineitem WHERE l_orderkey < 500)
+@query("""WITH r AS (SELECT l_orderkey AS task_id, l_linestatus = 'F' AS ok FROM lineitem)
 SELECT task_id, count(*) AS total, count(*) FILTER (WHERE ok) AS success FROM r GROUP BY task_id HAVING count(*) FILTER (WHERE ok) > 0""")
 def stream_quorum(spark, sf_dir):
     """Broadcast progress kept as streaming state."""
