@@ -45,6 +45,35 @@ def test_store_lifecycle(spark, tmp_path):
     assert state(versions.as_of(store.log(), 2)) == {1: 3.0}
 
 
+def test_store_conflicts_and_isolation(spark, tmp_path):
+    store = transactions.Store(spark, str(tmp_path / "kv"), patience=1.0)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "key bigint, value double, is_deleted boolean, seq bigint")
+    assert store.write(frame((1, 1.0, False, 1), (1, 2.0, False, 3), (1, None, True, 2), (2, 5.0, False, 1), (3, 7.0, None, 1))) == 1
+    assert state(store.get()) == {1: 2.0, 2: 5.0, 3: 7.0}
+    a, b, c = store.begin(), store.begin(), store.begin("read_committed")
+    a.put(1, 10.0)
+    b.put(1, 11.0)
+    b.put(4, 1.0)
+    c.put(1, 12.0)
+    a.commit()
+    assert state(b.view()) == {1: 11.0, 2: 5.0, 3: 7.0, 4: 1.0} and state(c.view())[1] == 12.0
+    assert state(store.begin("read_committed").view())[1] == 10.0
+    with pytest.raises(transactions.Conflict):
+        b.commit()
+    assert state(store.get()) == {1: 10.0, 2: 5.0, 3: 7.0}  # nothing of it is seen
+    c.commit()
+    assert state(store.get())[1] == 12.0
+    with pytest.raises(KeyError):
+        store.begin().delete(99)
+    with pytest.raises(ValueError):
+        store.begin("chaos")
+    store.write(frame().limit(0))
+    assert state(store.get()) == {1: 12.0, 2: 5.0, 3: 7.0}
+    assert len({store._claim() for _ in range(3)}) == 3
+    with pytest.raises(TimeoutError):  # the claims above never end
+        store.write(frame((2, 1.0, False, 1)), snapshot=max(store.commits()))
+
+
 def test_inline_versions(spark):
     log = spark.createDataFrame([(1, 1, False, 1.0), (1, 2, False, 2.0), (2, 1, False, 1.0), (2, 2, True, None), (2, 3, False, 3.0), (3, 1, False, 1.0), (3, 2, False, 2.0), (3, 3, False, 3.0)], LOG)
     assert state(versions.as_of(log, 1, "inline2")) == {1: 1.0}  # 2: cut by the insert; 3: older than both
@@ -77,6 +106,10 @@ def test_sequences_match_a_global_window(spark):
         total += v
         want[k] = total
     assert got == want
+    assert {r.k: r.s for r in sequences.running(df, "k", F.col("v"), "s").collect()} == want
+    deep = sequences.running(df, "k", F.col("v"), "s", 1, ranges=3)  # ranges of ranges
+    assert {r.k: r.s for r in deep.collect()} == want
+    assert sequences.numbered(df.limit(0), "k", "n").collect() == []
 
 
 def test_version_codec(spark):
@@ -92,6 +125,14 @@ def test_framing():
     f = binary.frame(1, 42, 2, b"key", b"")
     assert len(f) % 8 == 0 and binary.unframe(f) == (1, 42, 2, b"key", b"")
     assert binary.unframe(f[:-1]) is None and binary.unframe(f[:8] + b"\x01" + f[9:]) is None
+    entries = [(i, i // 3, 0, b"k" * (i % 5), b"v" * (i * 7 % 40)) for i in range(30)]
+    whole = binary.frames(entries)
+    assert binary.scan(b"".join(whole)) == entries
+    bad = [f[:27] + b"\xff" + f[28:] if i % 4 == 1 else f for i, f in enumerate(whole)]
+    assert [e[0] for e in binary.scan(b"".join(bad)[:-3])] == [i for i in range(29) if i % 4 != 1]
+    assert binary.crc32c_many([b"", b"123456789", b"a"]).tolist() == [0, 0xE3069283, 0xC1D04330]
+    with pytest.raises(ValueError):
+        binary.expand("zstd", __import__("zstandard").compress(bytes(100)), 99)
     x = {"a": [1, -5, None, True, b"\x00", "é"], "b": {}}
     assert binary.unpack(binary.pack(x))[0] == x
 

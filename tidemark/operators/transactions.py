@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +62,21 @@ def numbered_links(log: DataFrame, order: str = "lsn") -> DataFrame:
     return log.withColumn("prev_lsn", F.lag(order).over(Window.partitionBy("tx_id").orderBy(order)))
 
 
+class Conflict(ValueError):
+    """A key was committed by another writer after the transaction's snapshot."""
+
+
 class Session:
-    """A transaction over a change-log folder: buffered writes, snapshot reads, an atomic append on commit."""
+    """A transaction over a change-log folder: buffered writes, reads, an atomic append on commit.
+
+    A ``snapshot`` session reads the state at its begin, and the first of two that write a key wins. A ``read_committed``
+    session reads the newest commit each time, and does not conflict.
+    """
 
-    def __init__(self, store: Store, snapshot: int):
-        self.store, self.snapshot, self.rows, self.state = store, snapshot, [], "active"
+    def __init__(self, store: Store, snapshot: int, isolation: str = "snapshot"):
+        if isolation not in ("snapshot", "read_committed"):
+            raise ValueError(f"unknown isolation {isolation}")
+        self.store, self.snapshot, self.isolation, self.rows, self.state = store, snapshot, isolation, [], "active"
 
     def _check(self):
         if self.state != "active":
@@ -75,22 +87,26 @@ class Session:
         self.rows.append((key, value, False))
 
     def delete(self, key: int) -> None:
-        self._check()
+        """Buffers a tombstone; a key that is not visible is an error."""
+        if self.view().where(F.col("key") == key).isEmpty():
+            raise KeyError(key)
         self.rows.append((key, None, True))
 
     def view(self) -> DataFrame:
-        """The snapshot under the session's own writes: ``key, value``."""
+        """What the session reads, under its own writes: ``key, value``."""
         from .versions import as_of, overlay
 
         self._check()
         own = {k: (k, v, d) for k, v, d in self.rows}
         changes = self.store.spark.createDataFrame(list(own.values()), "key bigint, value double, is_deleted boolean")
-        return overlay(as_of(self.store.log(), self.snapshot), changes).where("not is_deleted").select("key", "value")
+        at = self.snapshot if self.isolation == "snapshot" else max(self.store.commits(), default=0)
+        return overlay(as_of(self.store.log(), at), changes).where("not is_deleted").select("key", "value")
 
     def commit(self) -> int:
         self._check()
+        ts = self.store.append(self.rows, self.snapshot if self.isolation == "snapshot" else None)
         self.state = "committed"
-        return self.store.append(self.rows)
+        return ts
 
     def rollback(self) -> None:
         self._check()
@@ -100,33 +116,85 @@ class Session:
 class Store:
     """A versioned key-value table: a folder with one subfolder of Parquet for each commit.
 
-    Readers list commits by their success marker, so a half-written commit is never seen.
+    Readers list commits by their success marker, so a half-written commit is never seen. A writer claims its timestamp by
+    creating a file, which one of several writers can do, and checks conflicts once all earlier claims have ended.
     """
 
     SCHEMA = "key bigint, ts bigint, is_deleted boolean, value double"
 
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark, path: str, patience: float = 600.0):
+        self.spark, self.path, self.patience = spark, path.rstrip("/"), patience
+
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, pattern: str) -> list[str]:
+        p, fs = self._at(pattern)
+        return [x.getPath().toString() for x in (fs.globStatus(p) or [])]
 
     def commits(self) -> list[int]:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commit=*/_SUCCESS")
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
-        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in (found or []))
+        return sorted(int(x.split("commit=")[1].split("/")[0]) for x in self._names("commit=*/_SUCCESS"))
 
-    def log(self) -> DataFrame:
-        """All committed versions."""
-        paths = [f"{self.path}/commit={n}" for n in self.commits()]
+    def log(self, after: int = 0) -> DataFrame:
+        """All committed versions, or those after a timestamp."""
+        paths = [f"{self.path}/commit={n}" for n in self.commits() if n > after]
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
-    def append(self, rows: list[tuple]) -> int:
-        """Write (key, value, is_deleted) rows as one commit; the last write of a key wins."""
-        ts = max(self.commits(), default=0) + 1
-        last = {k: (k, ts, d, v) for k, v, d in rows}
-        self.spark.createDataFrame(list(last.values()), self.SCHEMA).sort("key").write.parquet(f"{self.path}/commit={ts}")
+    def _claim(self) -> int:
+        while True:
+            ts = max([*self.commits(), *(int(x.rpartition("claim=")[2]) for x in self._names("_claims/claim=*"))], default=0) + 1
+            p, fs = self._at(f"_claims/claim={ts}")
+            fs.mkdirs(p.getParent())
+            try:
+                fs.create(p, False).close()  # fails if another writer has it
+                return ts
+            except Exception as e:
+                if "AlreadyExists" not in str(e):
+                    raise
+
+    def _settle(self, ts: int) -> None:
+        """Wait until each earlier claim is committed or given up."""
+        until = time.monotonic() + self.patience
+        while True:
+            ended = set(self.commits()) | {int(x.rpartition("over=")[2]) for x in self._names("_claims/over=*")}
+            if not [n for x in self._names("_claims/claim=*") if (n := int(x.rpartition("claim=")[2])) < ts and n not in ended]:
+                return
+            if time.monotonic() > until:
+                raise TimeoutError(f"an earlier writer of {self.path} has not ended")
+            time.sleep(0.2)
+
+    def write(self, changes: DataFrame, snapshot: int | None = None) -> int:
+        """Commit ``key, value, is_deleted`` rows (batch upserts and deletes) and return the timestamp.
+
+        Of rows that repeat a key, the one with the greatest ``seq`` counts, if there is such a column; else any. With ``snapshot``,
+        a key that was committed after it raises ``Conflict`` and nothing is written. No rows: an empty commit.
+        """
+        order = F.col("seq") if "seq" in changes.columns else F.lit(0)
+        kind = {"key": "bigint", "value": "double", "is_deleted": "boolean"}
+        rows = changes.select(*(F.col(c).cast(k).alias(c) for c, k in kind.items()), order.alias("__seq")).where("key is not null")
+        rows = rows.groupBy("key").agg(F.max_by("value", "__seq").alias("value"), F.max_by("is_deleted", "__seq").alias("is_deleted"))
+        ts = self._claim()
+        try:
+            if snapshot is not None:
+                self._settle(ts)
+                taken = rows.join(self.log(after=snapshot).select("key").distinct(), "key", "left_semi").select("key").head(1)
+                if taken:
+                    raise Conflict(f"key {taken[0]['key']} was committed after {snapshot}")
+            rows.select("key", F.lit(ts).cast("bigint").alias("ts"), F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"), "value").write.parquet(f"{self.path}/commit={ts}")
+        except BaseException:
+            p, fs = self._at(f"_claims/over={ts}")
+            fs.create(p, True).close()
+            raise
         return ts
 
-    def begin(self) -> Session:
-        return Session(self, max(self.commits(), default=0))
+    def append(self, rows: list[tuple], snapshot: int | None = None) -> int:
+        """``write`` of (key, value, is_deleted) tuples; the last write of a key wins."""
+        last = {k: (k, v, d) for k, v, d in rows}
+        return self.write(self.spark.createDataFrame(list(last.values()), "key bigint, value double, is_deleted boolean"), snapshot)
+
+    def begin(self, isolation: str = "snapshot") -> Session:
+        return Session(self, max(self.commits(), default=0), isolation)
 
     def get(self) -> DataFrame:
         from .versions import live

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import sequences, transactions, versions
 from ..sources.changelog import change_log, table
+from ..streaming import ingest
 from .registry import LINKED, LOG, RANKED, query
 
 #: Sample snapshot and watermark.
@@ -26,6 +27,17 @@ def latest_raw(spark, sf_dir):
     return versions.newest(change_log(spark, sf_dir))
 
 
+@query(RANKED + " SELECT key, value FROM r WHERE r = 1 AND NOT del")
+def store_batches(spark, sf_dir):
+    """Batch upserts and deletes committed to a store, four commits of the log in turn, and read back."""
+    log = change_log(spark, sf_dir)
+    store = transactions.Store(spark, ingest.folder(spark, "store"))
+    for low in range(0, 4):
+        part = F.least(F.expr("ts div 2000"), F.lit(3)) == low
+        store.write(log.where(part).select("key", "value", "is_deleted", F.col("ts").alias("seq")), snapshot=low)
+    return store.get().select("key", "value")
+
+
 @query(RANKED + " SELECT count(*) AS live_keys FROM r WHERE r = 1 AND NOT del")
 def live_size(spark, sf_dir):
     return versions.newest(change_log(spark, sf_dir)).agg(F.count_if(~F.col("is_deleted")).alias("live_keys"))
@@ -116,7 +128,7 @@ def page_of_key(spark, sf_dir):
     """The page of a key: separators at or below it."""
     keys = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("key"))
     marks = table(spark, sf_dir, "orders").where("o_orderkey % 700 = 0").select(F.col("o_orderkey").alias("key"))
-    return sequences.separators_up_to(keys, "key", marks, "page", 1000)
+    return sequences.separators_up_to(keys, "key", marks, "page")
 
 
 @query(LINKED + """, f AS (SELECT tx_id, key, arg_min(coalesce(NOT prev_del, false), ts) AS had FROM p GROUP BY ALL),
@@ -149,7 +161,7 @@ def undo_2pc(spark, sf_dir):
 @query(LOG + ", n AS (SELECT ts, tx_id, row_number() OVER (ORDER BY ts) AS lsn FROM l) SELECT ts, lsn, lag(lsn) OVER (PARTITION BY tx_id ORDER BY lsn) AS prev_lsn FROM n")
 def ts_sequence(spark, sf_dir):
     """Log sequence numbers in arrival order, and each entry's predecessor in its transaction."""
-    n = sequences.numbered(change_log(spark, sf_dir).select("ts", "tx_id"), "ts", "lsn", 1000)
+    n = sequences.numbered(change_log(spark, sf_dir).select("ts", "tx_id"), "ts", "lsn")
     return transactions.numbered_links(n).select("ts", "lsn", "prev_lsn")
 
 

@@ -39,7 +39,7 @@ SELECT key, size, CAST((sum(size) OVER (ORDER BY key) - size) // 65536 AS BIGINT
 def chunk_pack(spark, sf_dir):
     """Chunk of each object when chunks of 64 KiB fill up in key order."""
     sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("bigint") * 80).alias("size"))
-    return sequences.running(sizes, "key", F.col("size"), "__end", 1000).select("key", "size", F.expr("(__end - size) div 65536").alias("chunk_id"))
+    return sequences.running(sizes, "key", F.col("size"), "__end").select("key", "size", F.expr("(__end - size) div 65536").alias("chunk_id"))
 
 
 @query(_CHUNKS + " SELECT chunk_id, n_pages, free_pages, total, live, fill FROM f")
@@ -161,13 +161,13 @@ _LEVEL = "CASE WHEN event_id < 2000 THEN 0 WHEN event_type = 'purchase' THEN 1 W
 def priority_pop(spark, sf_dir):
     """Pop order: by level, first in first out; items that waited too long are promoted to level 0."""
     items = table(spark, sf_dir, "events").select("event_id", F.expr(_LEVEL).cast("int").alias("level")).withColumn("place", F.col("level").cast("bigint") * (1 << 40) + F.col("event_id"))
-    return sequences.numbered(items, "place", "turn", 1000).select("event_id", "level", "turn")
+    return sequences.numbered(items, "place", "turn").select("event_id", "level", "turn")
 
 
 @query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events)
 SELECT (rn - 1) // 16 AS batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM n GROUP BY 1""")
 def group_commit_batches(spark, sf_dir):
-    n = sequences.numbered(table(spark, sf_dir, "events").select("event_id"), "event_id", "rn", 1000)
+    n = sequences.numbered(table(spark, sf_dir, "events").select("event_id"), "event_id", "rn")
     return n.groupBy(F.expr("(rn - 1) div 16").alias("batch")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 

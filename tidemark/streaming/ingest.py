@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.versions import live
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share; a local one only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -38,7 +38,7 @@ def ingest(stream: DataFrame, log_path: str, checkpoint: str, repeat: bool = Fal
 
 def replayed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream ``events`` as a change log into a folder, and read the latest values back."""
-    path = _folder(spark, "ingest")
+    path = folder(spark, "ingest")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
     deleted = F.col("event_type") == "error"
@@ -49,7 +49,7 @@ def replayed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quorum_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress of broadcasts over streamed peer answers: the last counts of each task."""
-    path = _folder(spark, "quorum")
+    path = folder(spark, "quorum")
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parquet*")
     peers = rows.select(F.col("l_orderkey").alias("task_id"), (F.col("l_linestatus") == "F").alias("ok"))
