@@ -24,8 +24,8 @@ def running(df: DataFrame, order: str, amount: Column, name: str, width: int | N
     rows = df.withColumns({"__range": F.expr(f"{order} div {width}"), "__amount": amount})
     sums = rows.groupBy("__range").agg(F.sum("__amount").alias("__sum"))
     if span // width > ranges:
-        upto = running(sums, "__range", F.col("__sum"), "__upto", ranges=ranges)
-        offsets = upto.select("__range", (F.col("__upto") - F.col("__sum")).alias("__offset"))
+        upto = running(sums.select(F.col("__range").alias("__at"), F.col("__sum").alias("__part")), "__at", F.col("__part"), "__upto", ranges=ranges)
+        offsets = upto.select(F.col("__at").alias("__range"), (F.col("__upto") - F.col("__part")).alias("__offset"))
     else:
         offset = F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = sums.select("__range", offset.alias("__offset"))
