@@ -360,6 +360,8 @@ def test_near_groups_find_edited_texts(spark):
     prints = {r.doc_id: bytes.fromhex(r.fingerprint) for r in edit_fingerprints.fingerprint(docs).collect()}
     near = [(a, b) for a in prints for b in prints if a < b and sum(x == y for x, y in zip(prints[a], prints[b], strict=True)) >= 0.8 * 128]
     assert near and all(got[a] == got[b] for a, b in near)
+    led = {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(edit_fingerprints.fingerprint(docs), exact=False).collect()}
+    assert sum(led[a] == led[b] for a, b in near) >= 0.95 * len(near) and all(family[g] == family[i] for i, g in led.items())
 
 
 def test_decontamination(spark, docs, empty):
