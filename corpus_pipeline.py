@@ -1,7 +1,12 @@
 """The corpus pipeline: filter by quality, drop near copies, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``, extra columns too.
+
+In every stage a null text counts as empty, an empty table gives an empty table, and texts are read whole whatever their length. Rows
+without a doc_id are scored, mixed and sharded like others; near_dedup and decontamination let them pass. Rows that repeat a doc_id
+are kept or dropped together by quality (if their texts are equal) and decontamination; near_dedup keeps one of them. Ties go to the
+smallest doc_id.
 """
 
 from __future__ import annotations
