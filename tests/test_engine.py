@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.operators import compaction, metrics, sequences, transactions, versions
+from tidemark.operators import clocks, compaction, metrics, sequences, transactions, versions
 from tidemark.sources import binary
 
 LOG = "key bigint, ts bigint, is_deleted boolean, value double"
@@ -137,6 +137,34 @@ def test_framing():
     assert binary.unpack(binary.pack(x))[0] == x
 
 
+def test_clock_stamps_match_a_fold(spark):
+    times = [0, 0, 1, 5, 5, 4, 2, 5, 6, 6, 3, 9] + [9] * 70_000 + [10, 10, 12]
+    df = spark.createDataFrame([(7, i, t) for i, t in enumerate(times)], "node bigint, i bigint, t bigint")
+    last, want = (1 << 16) | 65530, []
+    for t in times:
+        pt, c = last >> 16, last & 65535
+        last = t << 16 if t > pt else (pt + 1) << 16 if c == 65535 else last + 1
+        want.append(last)
+    got = clocks.now(df, "node", "i", F.col("t"), (1 << 16) | 65530)
+    assert [r.packed for r in got.orderBy("i").collect()] == want
+    assert got.columns == ["node", "i", "t", "packed"]
+
+
+def test_prepare_entries(spark):
+    log = spark.createDataFrame([(10, 1, False, 1.0, 0), (10, 5, True, None, 1), (9, 6, False, 2.0, 1), (9, 7, False, 3.0, 1), (8, 8, True, None, 1)], LOG + ", tx_id bigint")
+    got = {r.tx_id: bytes(r.value) for r in transactions.prepare_entries(log).collect()}
+    assert binary.prepared(got[0]) == [(b"10", 0, 0, 0, b"", 0, b"v1")]
+    assert binary.prepared(got[1]) == [(b"10", 2, 0, 1, b"v1", 1, b""), (b"9", 0, 0, 0, b"", 0, b"v7")]  # 8 did not exist
+    assert all(binary.prepared(got[1][:n]) is None for n in range(len(got[1]))) and binary.prepared(got[1] + b"x") is None
+    assert transactions.prepare_entries(log.limit(0)).collect() == []
+
+
+def test_request_getters(spark):
+    rows = [("n-1-7fffffffffffffff-ffffffff", "n-1", 2**63 - 1, 2**32 - 1), ("n-1-8000000000000000-100000000", "n-1", 0, 0), ("a-1f-2", "a", 31, 0), ("--", "", 0, 0), ("x", "", 0, 0), ("", "", 0, 0)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "rid string")
+    assert [tuple(r) for r in df.select(*codec.request_getters(F.col("rid"))).collect()] == [r[1:] for r in rows]
+
+
 def test_quorum_rules(spark):
     df = spark.createDataFrame([(1, True, 3), (1, True, 1), (1, False, 2), (2, False, 1)], "task_id bigint, ok boolean, at int")
     got = {r.task_id: (r.majority_ok, r.all_ok, r.majority_at) for r in metrics.quorum(df).collect()}

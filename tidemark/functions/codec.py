@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Flags of a versioned value (bit 0: tombstone) and entry type names.
 NORMAL, TOMBSTONE, LOB, LOB_TOMBSTONE, LOB_FILE, LOB_FILE_TOMBSTONE = range(6)
 OVERFLOW_BYTES, FILE_BYTES, PIECE_BYTES = 2048, 262144, 4024
+# Labels of task states and priorities, from 0, and modules that run on a core of their own.
+TASK_STATES = ("queued", "executing", "passed", "failed", "timeout", "busy", "retrying", "completed")
+PRIORITIES = ("critical", "high", "urgent", "important", "normal-high", "normal", "normal-low", "low", "background", "idle")
+PER_CORE = ("hlc", "wal", "transaction", "replication")
 
 
 def be(n: Column, width: int) -> Column:
@@ -127,6 +131,38 @@ def request_parts(rid: Column) -> Column:
     return F.when(F.size(p) == 4, F.struct(F.concat_ws("-", F.get(p, F.lit(0)), F.get(p, F.lit(1))).alias("node"), num(2).alias("second"), num(3).alias("seq")))
 
 
+def request_getters(rid: Column) -> tuple[Column, Column, Column]:
+    """Node, second and sequence as far as they can be read: '' and 0 where a part is missing or no number that fits."""
+    p = F.split(rid, "-")
+    n = F.size(p)
+    num = lambda i, fits: F.when(F.try_element_at(p, F.lit(i)).rlike(fits), F.conv(F.try_element_at(p, F.lit(i)), 16, 10).cast("bigint")).otherwise(0)
+    node = F.when(n >= 3, F.concat_ws("-", F.slice(p, F.lit(1), F.greatest(n - 2, F.lit(0))))).otherwise("")
+    second = F.when(n >= 3, num(-2, "^0*[0-7]?[0-9a-fA-F]{1,15}$")).otherwise(0)
+    return node, second, F.when(n >= 4, num(-1, "^0*[0-9a-fA-F]{1,8}$")).otherwise(0)
+
+
+def source_parts(source: Column) -> Column:
+    """Module, sub-module and action, trimmed; null unless there are three and none is empty."""
+    p = F.transform(F.split(source, ":"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    part = F.struct(*(F.get(p, F.lit(i)).alias(x) for i, x in enumerate(("module", "sub_module", "action"))))
+    return F.when((F.size(p) == 3) & ~F.array_contains(p, ""), part)
+
+
+def source_mode(module: Column) -> Column:
+    """Where a module's tasks run: those that wait for nothing on a core, the others in a pool."""
+    return F.when(module.isin(*PER_CORE), "per-core").otherwise("pool")
+
+
+def label(code: Column, names: tuple[str, ...], other: str = "unknown") -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, names)), code.cast("int")), F.lit(other))
+
+
+def prepare_record(key: Column, op: Column, old_flag: Column, old_ts: Column, old: Column, new: Column) -> Column:
+    """[key length 4][key][op 1][old flag 1][old ts 8][old length 4][old][new flag 1][new length 4][new]; op 2 deletes."""
+    new_flag = F.when(op == 2, TOMBSTONE).otherwise(NORMAL)
+    return F.concat(be(F.octet_length(key), 4), key, be(op, 1), be(old_flag, 1), be(old_ts, 8), be(F.octet_length(old), 4), old, be(new_flag, 1), be(F.octet_length(new), 4), new)
+
+
 def source_matches(source: Column, pattern: str) -> Column:
     """Whether a three-part source id matches a pattern whose parts may be '*'."""
     got, ok = F.split(source, ":"), F.lit(True)

@@ -71,6 +71,13 @@ def quorum(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def pending(tasks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per task of ``task_id, expected``: the answers of ``task_id`` so far, those still missing and whether all are in."""
+    n = answers.groupBy("task_id").agg(F.count("*").alias("n"))
+    out = tasks.join(n, "task_id", "left").withColumn("answered", F.coalesce("n", F.lit(0).cast("bigint")))
+    return out.select("task_id", "expected", "answered", F.greatest(F.col("expected") - F.col("answered"), F.lit(0).cast("bigint")).alias("pending"), (F.col("answered") >= F.col("expected")).alias("complete"))
+
+
 def trips(calls: DataFrame, least: int = 10, share: float = 0.5, streak: int = 5) -> DataFrame:
     """Per peer of ``peer, seq, failed``: whether a circuit breaker trips by failure share or by consecutive failures."""
     w = Window.partitionBy("peer").orderBy("seq")

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
 from .versions import existed, newest, with_previous
 
 
@@ -46,6 +47,26 @@ def undo(log: DataFrame, status: str = "open") -> DataFrame:
     return out.select("tx_id", "key", F.when(existed(F.col("o.prev_deleted")), F.col("o.prev_value")).alias("restored_value"), (~existed(F.col("o.prev_deleted"))).alias("restored_deleted"))
 
 
+def prepare_entries(log: DataFrame) -> DataFrame:
+    """``tx_id, value``: the prepare entry of each transaction, a record for each key that it changes, in byte order of the keys.
+
+    Keys are written as text, values as ``v`` and the timestamp of their version. A record has what undo needs: the flag, timestamp and
+    value before. A delete of a key that did not exist leaves no record. One entry holds one write set, as the log has it.
+    """
+    w = Window.partitionBy("key").orderBy("ts")
+    linked = log.select("tx_id", "key", "ts", "is_deleted", F.lag("ts").over(w).alias("old_ts"), F.lag("is_deleted").over(w).alias("old_deleted"))
+    per = linked.groupBy("tx_id", "key").agg(F.min_by(F.struct("old_ts", "old_deleted"), "ts").alias("o"), F.max("ts").alias("ts"), F.max_by("is_deleted", "ts").alias("gone"))
+    had = existed(F.col("o.old_deleted"))
+    op = F.when(F.col("gone"), F.when(had, 2)).when(had, 1).otherwise(0)
+    text = lambda c: F.concat(F.lit("v"), F.col(c).cast("string")).cast("binary")
+    nothing = F.lit(b"")
+    old_flag = F.when(F.col("o.old_deleted"), codec.TOMBSTONE).otherwise(codec.NORMAL)
+    rows = per.withColumn("op", op).where("op is not null").withColumn("k", F.col("key").cast("string").cast("binary"))
+    record = codec.prepare_record(F.col("k"), F.col("op"), old_flag, F.coalesce("o.old_ts", F.lit(0)), F.when(had, text("o.old_ts")).otherwise(nothing), F.when(F.col("op") == 2, nothing).otherwise(text("ts")))
+    body = rows.select("tx_id", "k", record.alias("record")).groupBy("tx_id").agg(F.count("*").alias("n"), F.expr("listagg(record) within group (order by k)").alias("body"))
+    return body.select("tx_id", F.concat(codec.be(F.col("n"), 4), "body").alias("value"))
+
+
 def conflicts(intervals: DataFrame, width: int) -> DataFrame:
     """Pairs of transactions with overlapping [low, high] on one key: ``key, tx_a, tx_b`` with tx_a < tx_b.
 
