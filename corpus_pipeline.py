@@ -19,7 +19,7 @@ from tidemark.llm.common import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranker accepts. Fitted on the bounded sample of all labelled documents."""
+    """Documents that the pairwise ranker accepts. Fitted on all pairs of all labelled documents."""
     model = quality_ranker.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return quality_ranker.score(docs, model).where("quality_score >= 0.5").select(docs.columns)
 

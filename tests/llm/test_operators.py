@@ -287,6 +287,34 @@ def test_quality_threshold_counts_all_labels(spark):
         assert abs(low / 1600 - 1 / 8) < 0.03
 
 
+def test_quality_fits_all_pairs(spark):
+    """Weights and threshold against brute force on every pair and every labelled row."""
+    rng = random.Random(8)
+    text = lambda bad: " ".join(rng.choice("abcdefgh") * rng.randrange(2, 6) for _ in range(rng.randrange(5, 60))) + " !!! ##" * rng.randrange(0, 9 if bad else 5)
+    rows = [(i, text(i % 3 == 0), 0 if i % 3 == 0 else 1) for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(3)
+    model = quality_ranker.fit(d.select("doc_id", "text"), d.select("doc_id", "quality"), F.lit(True))
+    x, y = np.array([quality_ranker.features(t.encode()) for _, t, _ in rows]), np.array([q for *_, q in rows])
+    assert model.mean == pytest.approx(x.mean(0), abs=1e-8) and model.scale == pytest.approx(np.maximum(x.std(0), 1e-3), abs=1e-8)
+    z = (x - model.mean) / model.scale
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(pairs @ w))
+        w += np.linalg.solve((pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + 1e-3 * np.eye(len(w)), p @ pairs / len(pairs) - 1e-3 * w)
+    assert model.weights == pytest.approx(w, abs=1e-6)
+    s = np.sort(z @ w)
+    assert model.threshold == pytest.approx((s[79] + s[80]) / 2, abs=1e-5)
+
+
+def test_quality_zero_point(spark):
+    rng = random.Random(9)
+    for values in ([rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9) for _ in range(500)], [float(rng.randrange(6)) for _ in range(500)], [1.0] * 9):
+        raw, s = spark.createDataFrame([(v,) for v in values], "raw double"), sorted(values)
+        for rank in (1, len(s) // 3, len(s) - 1):
+            assert quality_ranker.zero_point(raw, rank, 16) == (s[rank - 1] + s[rank]) / 2
+
+
 def test_shards(docs, empty):
     out = extendible_shards.assign_shards(docs, limit=3000).collect()
     assert len(out) == len(ROWS)
