@@ -369,6 +369,41 @@ def test_near_groups_of_unequal_fingerprints(spark):
     assert {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(prints).collect()} == roots
 
 
+def near_prints(rng):
+    """Pairs of fingerprints that just agree in 103 of 128 slots, one different slot in every band of 5 but one; chains; a dense hub; strangers."""
+    rows = []
+    for _ in range(30):
+        f = [rng.randrange(256) for _ in range(128)]
+        rows.append(bytes(f))
+        for at in rng.sample([128 * b // 26 + rng.randrange(4) for b in range(26)], 25):
+            f[at] = (f[at] + 1) % 256
+        rows.append(bytes(f))
+    hub = [rng.randrange(256) for _ in range(128)]
+    for i in range(150):
+        f = list(hub)
+        for at in rng.sample(range(128), 5 if i < 50 else 18):
+            f[at] = rng.randrange(256)
+        rows.append(bytes(f))
+    rows += [bytes(rng.randrange(256) for _ in range(128)) for _ in range(100)]
+    rng.shuffle(rows)
+    return rows, closure(list(range(len(rows))), lambda a, b: sum(map(int.__eq__, rows[a], rows[b])) >= 0.8 * 128)
+
+
+def test_near_groups_lose_no_link(spark, tmp_path, monkeypatch):
+    """The query's groups are those of brute force over all pairs of fingerprints, also where a bucket is cut into cells."""
+    rows, roots = near_prints(random.Random(14))
+    prints = spark.createDataFrame([(i, f.hex()) for i, f in enumerate(rows)], "doc_id bigint, fingerprint string")
+    monkeypatch.setattr(edit_fingerprints, "compare_with_edits", lambda docs: prints)
+    spark.createDataFrame([(0, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.group_id for r in queries.op6_edit_fingerprints(spark, str(tmp_path)).collect()} == roots
+
+
+def test_near_groups_in_cells(spark):
+    rows, roots = near_prints(random.Random(15))
+    prints = spark.createDataFrame([(i, f.hex()) for i, f in enumerate(rows)], "doc_id bigint, fingerprint string")
+    assert {r.doc_id: r.group_id for r in edit_fingerprints.near_groups(prints, block=6).collect()} == roots
+
+
 def test_near_groups_find_edited_texts(spark):
     """Texts whose edit similarity is high are grouped, unrelated ones are not."""
     rng = random.Random(12)

@@ -44,9 +44,9 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With ``group_id``: the smallest doc_id among the texts that banding and verification link, through the bands' leaders."""
+    """With ``group_id``: the smallest doc_id among the texts that banding and verification link; no near pair is left out."""
     out = edit_fingerprints.compare_with_edits(_read(spark, sf_dir, "documents"))
-    return edit_fingerprints.near_groups(out, exact=False)
+    return edit_fingerprints.near_groups(out)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
